@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mixed, remainder5, scratch_dir, sliced, small_batches, table, texts_of, word_hashes
+from .common import delete, materialize, mixed, release, remainder5, scratch_dir, sliced, small_batches, table, texts_of, word_hashes
 
 #: The hashes of the text's begin and end.
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
@@ -131,6 +131,7 @@ def train(docs: DataFrame, folder: str) -> dict:
                 yield pd.DataFrame({"w": w.view(np.int64), "c": c})
 
     words = materialize(docs.select("text").mapInPandas(unigrams, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
+    release(spark)
     n_tokens, n_types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     heavy = np.array(sorted(r[0] for r in words.filter(F.col("c") * HEAVY > n_tokens).select("w").collect()) + [BEGIN.view(np.int64)], np.int64).view(np.uint64)  # at most HEAVY words
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // TOKENS_PER_PART))
@@ -183,8 +184,13 @@ def train(docs: DataFrame, folder: str) -> dict:
 
     dealt = docs.select("text").mapInPandas(pairs, "p int, h long, w long, c int").repartition(parts, "p")
     stats = materialize(dealt.mapInPandas(reduce, "kind int, key long, a long, b long, c long, d long"), "lm-stats")
+    del dealt
+    release(spark)
     summed = stats.groupBy("kind", "key").agg(*[F.sum(x).alias(x) for x in "abcd"])
     summed = materialize(summed, "lm-sums")
+    for folder_of_stats in {f.rpartition("/")[0] for f in stats.inputFiles()}:
+        delete(spark, folder_of_stats)
+    release(spark)
     n1 = summed.filter("kind = 2").select("a", "b", "c", "d").first()
     u = summed.filter("kind = 1").agg(F.coalesce(F.sum("a"), F.lit(0)), *[F.coalesce(F.sum((F.col("a") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)], F.coalesce(F.sum((F.col("a") > 2).cast("long")), F.lit(0))).first()
     constants = {
@@ -205,7 +211,8 @@ def train(docs: DataFrame, folder: str) -> dict:
             by = np.argsort(key)
             name = ("context", "word")[kind]
             files.write(f"{name}-{p}.key", key[by])
-            files.write(f"{name}-{p}.count", rows[by, 1:].astype(np.uint64) if kind == 0 else rows[by, 1:3].astype(np.uint64))
+            counts = rows[by, 1:] if kind == 0 else rows[by, 1:3]
+            files.write(f"{name}-{p}.count", counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.uint64))
             yield pd.DataFrame({"kind": [kind], "p": [p]})
 
     # words: how many contexts they follow (a) and how often they occur (b)
@@ -245,7 +252,10 @@ class Model:
         if (kind, p) not in self.held:
             try:
                 key = self.files.map(f"{kind}-{p}.key", np.uint64)
-                count = self.files.map(f"{kind}-{p}.count", np.uint8 if kind == "pair" else np.uint64)
+                count = self.files.map(f"{kind}-{p}.count", np.uint8)
+                # the width of a stored number follows from the file's size
+                each = len(count) // max(1, len(key) * WIDTH[kind])
+                count = count.view(f"u{each}") if each > 1 else count
             except FileNotFoundError:  # no key was dealt to this part
                 key, count = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             width = WIDTH[kind]

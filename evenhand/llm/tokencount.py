@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, small_batches, sliced, table
+from .common import materialize, scratch_dir, small_batches, sliced, table
 
 CACHE_SCHEMA = "tokenizer binary, content binary, n_tokens long"
 LIMIT = 2048
@@ -79,6 +79,7 @@ def token_counts(docs: DataFrame, path: str, cache_dir: str) -> DataFrame:
 
     distinct.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_dir)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_dir).filter(is_ours).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = materialize(stored, "token-counts")  # a written side lets Spark split a hot content in the join below
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
     return sizes.join(stored, "content").select("doc_id", "n_bytes", "n_tokens")
 

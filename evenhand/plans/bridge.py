@@ -5,6 +5,8 @@ Sums are of whole cents and rounding is floor(x * 10 + 0.5) / 10, so that other
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame, label: str = "") -> DataFrame:
+    """df checkpointed in the shared folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="evenhand-"))
+    return df.checkpoint()
+
+
 def half_up(x: Column, digits: int) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 

@@ -11,7 +11,7 @@ from ..functions.rng import normal
 from ..functions.special import signif
 from ..operators import armn, assembly, corpus, graphs, layout, metrics, moments, normalize, reconstruct, report, simulate, tokens, validate
 from ..sources import files
-from .bridge import CELLS_SQL, LINES_SQL, MEDIAN_SQL, category_lines, continuous_lines, median_lines, table
+from .bridge import CELLS_SQL, LINES_SQL, MEDIAN_SQL, category_lines, continuous_lines, kept, median_lines, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -117,7 +117,7 @@ def mc06(s, d):
 
 @query("mc15_staged_tail")
 def mc15(s, d):
-    return simulate.staged_tail(continuous_lines(s, d), m_max=10_000)
+    return simulate.staged_tail(continuous_lines(s, d), m_max=10_000, materialize=kept)
 
 
 def _reported(s: SparkSession, d: str, m_max: int = 1_000) -> DataFrame:
@@ -132,7 +132,7 @@ def mc16(s, d):
 
 @query("mc11_median_simulation")
 def mc11(s, d):
-    return simulate.row_report(simulate.staged_tail(median_lines(s, d), m_max=10_000)).select("trial", "p", "m", "status")
+    return simulate.row_report(simulate.staged_tail(median_lines(s, d), m_max=10_000, materialize=kept)).select("trial", "p", "m", "status")
 
 
 @query("mc14_category_simulation")

@@ -115,6 +115,37 @@ def _runs(*keys: np.ndarray):
     return order, np.flatnonzero(new)
 
 
+def packed(part: np.ndarray, h: np.ndarray, w: np.ndarray, count: np.ndarray) -> pd.DataFrame:
+    """One row per part of pairs sorted by context: each context once, its number of followers, the followers, their counts.
+
+    Hashes don't compress, so a shuffle of these rows is about half of one of a row per pair.
+    """
+    order = np.argsort(part, kind="stable")
+    part, h, w, count = part[order], h[order], w[order], count[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+    heads = np.flatnonzero(first)
+    followers = np.diff(np.append(heads, len(h)))
+    cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    at = np.searchsorted(heads, cuts)
+    least = lambda x: x.astype(np.min_scalar_type(x.max())).tobytes()
+    rows = []
+    for a, b, i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), at[:-1].tolist(), at[1:].tolist()):
+        rows.append((part[a], h[heads[i:j]].tobytes(), least(followers[i:j]), w[a:b].tobytes(), least(count[a:b])))
+    return pd.DataFrame(rows, columns=["p", "h", "n", "w", "c"]).astype({"p": np.int32})
+
+
+def unpacked(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, words and counts of packed rows; a number's width follows from its block's size."""
+    h, n, w, c = [], [], [], []
+    for heads, followers, words, counts in rows:
+        h.append(np.frombuffer(heads, np.uint64))
+        n.append(np.frombuffer(followers, f"u{len(followers) // len(h[-1])}"))
+        w.append(np.frombuffer(words, np.uint64))
+        c.append(np.frombuffer(counts, f"u{len(counts) // len(w[-1])}"))
+    return np.repeat(np.concatenate(h), np.concatenate(n).astype(np.int64)), np.concatenate(w), np.concatenate(c).astype(np.int64)
+
+
 def train(docs: DataFrame, folder: str) -> dict:
     """Count docs (column text) and write the model to folder. Returns its constants.
 
@@ -147,19 +178,17 @@ def train(docs: DataFrame, folder: str) -> dict:
                 order, starts = _runs(h, w)
                 count = np.diff(np.append(starts, len(order)))
                 h, w = h[order][starts], w[order][starts]
-                yield pd.DataFrame({"p": spread_part(h, w, heavy, parts).astype(np.int32), "h": h.view(np.int64), "w": w.view(np.int64), "c": count.astype(np.int32)})
+                yield packed(spread_part(h, w, heavy, parts), h, w, count)
 
     def reduce(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
         for pdf in it:
-            part = pdf["p"].to_numpy()
-            rows = pdf["h"].to_numpy().astype(np.int64).view(np.uint64), pdf["w"].to_numpy().astype(np.int64).view(np.uint64), pdf["c"].to_numpy()
-            for p in np.unique(part).tolist():
-                held.setdefault(p, []).append(tuple(x[part == p] for x in rows))
+            for p, *row in pdf[["p", "h", "n", "w", "c"]].itertuples(index=False, name=None):
+                held.setdefault(p, []).append(row)
         for p in sorted(held):
-            h, w, c = (np.concatenate(x) for x in zip(*held.pop(p)))
+            h, w, c = unpacked(held.pop(p))
             order, starts = _runs(h, w)
-            c = np.add.reduceat(c[order].astype(np.int64), starts)
+            c = np.add.reduceat(c[order], starts)
             h, w = h[order][starts], w[order][starts]
             key = pair_hash(h, w)
             by = np.argsort(key, kind="stable")
@@ -182,7 +211,7 @@ def train(docs: DataFrame, folder: str) -> dict:
     def _rows(kind: int, key: np.ndarray, a, b, c, d) -> pd.DataFrame:
         return pd.DataFrame({"kind": np.full(len(key), kind, np.int32), "key": key.view(np.int64), "a": a, "b": b, "c": c, "d": d})
 
-    dealt = docs.select("text").mapInPandas(pairs, "p int, h long, w long, c int").repartition(parts, "p")
+    dealt = docs.select("text").mapInPandas(pairs, "p int, h binary, n binary, w binary, c binary").repartition(parts, "p")
     stats = materialize(dealt.mapInPandas(reduce, "kind int, key long, a long, b long, c long, d long"), "lm-stats")
     del dealt
     release(spark)

@@ -24,54 +24,57 @@ VECTOR_BLOCK = 4096
 MOST = 2**15
 
 
-def nra_topk(query: np.ndarray, own: int, ids: np.ndarray, vecs: np.ndarray, order: np.ndarray, ranked: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """[(score, row)] of the k best rows of a block for one integer query, ties to smaller id.
+def nra_block(queries: np.ndarray, owns: np.ndarray, ids: np.ndarray, vecs: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """[(query, row, score)] of the k best rows of a block for each integer query, ties to smaller id.
 
-    order[d] lists the rows by component d ascending and ranked[d] holds these components.
+    All queries read their lists in the same steps. What a depth has shown is a mask of the
+    components, one for each direction of reading, so the bounds of all queries and rows are
+    products of matrices. A query takes part until few enough candidates are left.
     """
     n, dims = vecs.shape
-    live = np.flatnonzero(ids != own)
-    if len(live) == 0:
-        return []
-    down = query < 0
-    # each list read from its favourable end
-    lists = np.where(down[:, None], order, order[:, ::-1])
-    gains = np.where(down[:, None], ranked, ranked[:, ::-1]) * query[:, None]
-    worst = gains[:, -1].astype(float)
-    best = gains[:, 0].astype(float)
-    seen_score, seen_worst = np.zeros(n), np.zeros(n)
-    unseen = np.ones((n, dims))
-    column = np.arange(dims)[:, None]
+    place = np.argsort(np.argsort(vecs, axis=0, kind="stable"), axis=0, kind="stable")
+    ranked, values = np.sort(vecs, axis=0), vecs.astype(float)
+    alive = [np.flatnonzero(ids != own) for own in owns]
+    active = np.array([i for i, rows in enumerate(alive) if len(rows) > max(4 * k, n // 16)], np.int64)
     depth, step = 0, max(64, n // 8)
-    while depth < n and len(live) > max(4 * k, n // 16):
-        upto = min(n, depth + step)
-        rows = lists[:, depth:upto]
-        flat = rows.ravel()
-        seen_score += np.bincount(flat, gains[:, depth:upto].ravel(), n)
-        seen_worst += np.bincount(flat, np.repeat(worst, upto - depth), n)
-        unseen[rows, column] = 0
-        best = gains[:, upto - 1].astype(float)
-        if len(live) > k:
-            low = seen_score[live] + worst.sum() - seen_worst[live]
-            high = seen_score[live] + unseen[live] @ best
-            live = live[high >= np.partition(low, len(live) - k)[len(live) - k]]
-        depth, step = upto, step * 2
-    score = vecs[live] @ query
-    keep = np.lexsort((ids[live], -score))[:k]
-    return [(int(score[i]), int(live[i])) for i in keep]
+    while depth < n and len(active):
+        depth, step = min(n, depth + step), step * 2
+        q = queries[active]
+        rising, falling = np.maximum(q, 0).astype(float).T, np.minimum(q, 0).astype(float).T
+        top, bottom = (place >= n - depth).astype(float), (place < depth).astype(float)
+        seen = (values * top) @ rising + (values * bottom) @ falling
+        # the most and the least that a component not yet seen can add
+        spans = []
+        for up, down in ((ranked[n - depth], ranked[depth - 1]), (ranked[0], ranked[-1])):
+            up, down = rising * up[:, None], falling * down[:, None]
+            spans.append(seen + (up + down).sum(axis=0) - top @ up - bottom @ down)
+        high, low = (x.T for x in spans)
+        own = ids[None, :] == owns[active][:, None]
+        low[own], high[own] = -np.inf, -np.inf
+        least = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
+        # sums beyond 2 ** 53 are rounded: leave room for that
+        room = np.abs(spans[0]).max(initial=0, where=np.isfinite(spans[0])) * dims * 2.0**-48
+        stays = (high >= (least - room)[:, None]) & ~own
+        for i, rows in zip(active, stays):
+            alive[i] = np.flatnonzero(rows)
+        active = active[stays.sum(axis=1) > max(4 * k, n // 16)]
+    out = []
+    for i, rows in enumerate(alive):
+        score = vecs[rows] @ queries[i]
+        out += [(i, int(rows[j]), int(score[j])) for j in np.lexsort((ids[rows], -score))[:k]]
+    return out
 
 
 def _pair_blocks(key, left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     rows = []
     if len(left) and len(right):
-        right = right.sort_values("vec_id", kind="stable")
-        vecs = np.stack(right["v"].to_numpy()).astype(np.int64)
-        ids = right["vec_id"].to_numpy()
-        order = np.argsort(vecs, axis=0, kind="stable").T.copy()
-        ranked = np.take_along_axis(vecs.T, order, axis=1)
-        for own, q in zip(left["vec_id"].to_numpy(), left["v"]):
-            for s, i in nra_topk(np.asarray(q, np.int64), own, ids, vecs, order, ranked, k):
-                rows.append((own, int(ids[i]), s))
+        vecs, ids = np.stack(right["v"].to_numpy()).astype(np.int64), right["vec_id"].to_numpy()
+        owns = left["vec_id"].to_numpy()
+        asked = np.stack(left["v"].to_numpy()).astype(np.int64)
+        # the largest block that hashing may deal keeps to bounded matrices
+        for at in range(0, len(owns), QUERY_BLOCK):
+            found = nra_block(asked[at : at + QUERY_BLOCK], owns[at : at + QUERY_BLOCK], ids, vecs, k)
+            rows += [(owns[at + i], ids[row], score) for i, row, score in found]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 

@@ -15,11 +15,13 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct words in the literal at most.
@@ -168,22 +170,25 @@ class RankMap:
 class WordMap:
     """Encoded words as literal columns, by a perfect hash of xxhash64."""
 
-    def __init__(self, spark: SparkSession, words: list[str], ids: list[list[int]]):
-        hashes = np.array([xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words], np.uint64).astype(np.int64)
+    def __init__(self, spark: SparkSession, words: pa.Array, ids: pa.Array):
+        """ids: each word's ids as text, with commas between."""
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer(), seed=42) for w in words), np.uint64, len(words)).astype(np.int64)
         size = 1 << max(4, int(len(words) * 1.5).bit_length())
         n_groups = max(1, size // 4)
         firsts, groups = hashes & (size - 1), (hashes >> 40) & (n_groups - 1)
         steps = (hashes >> 30) & 1023 | 1
         shifts = perfect_hash(firsts, steps, groups, n_groups, size)
         slots = (firsts + shifts[groups] * steps) & (size - 1)
-        word_at, ids_at = [""] * size, ["[]"] * size
-        for s, w, i in zip(slots.tolist(), words, ids):
-            word_at[s], ids_at[s] = w, "[" + ",".join(map(str, i)) + "]"
+        row_at = np.full(size, -1, np.int64)
+        row_at[slots] = np.arange(len(words))
         self.size, self.n_groups = size, n_groups
+        # one long text each: the driver never holds an object per word
+        at = pa.array(row_at, mask=row_at < 0)
+        joined = lambda column, gap: pc.binary_join(pa.ListArray.from_arrays([0, size], pc.fill_null(column.take(at), "")), gap)[0].as_py()
         self.shifts = _longs(spark, shifts)
         # a separator that no word holds: every word is matched by the pattern within one text, and U+0000 words are left out
-        self.words = literal(spark, F.split(F.lit("\0".join(word_at)), "\0", -1))
-        self.ids = literal(spark, F.from_json(F.lit("[" + ",".join(ids_at) + "]"), "array<array<bigint>>"))
+        self.words = literal(spark, F.split(F.lit(joined(words, "\0")), "\0", -1))
+        self.ids = literal(spark, F.from_json(F.lit("[[" + joined(ids, "],[") + "]]"), "array<array<bigint>>"))
 
     def ids_or(self, word: Column, other) -> Column:
         def at(h: Column) -> Column:
@@ -240,9 +245,13 @@ def encoded(docs: DataFrame, path: str, known_words: int = KNOWN_WORDS) -> DataF
     ranks = RankMap(spark, load_ranks(path))
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_words(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
     known = frequent_words(split, known_words)
-    rows = known.select("word", ranks.fold(F.col("word")).alias("ids")).collect()  # at most known_words rows
-    rows.sort()
-    words = WordMap(spark, [r[0] for r in rows], [r[1] for r in rows])
+    release(spark)
+    rows = known.select("word", F.array_join(ranks.fold(F.col("word")).cast("array<string>"), ",").alias("ids")).toArrow()  # at most known_words rows
+    rows = rows.sort_by("word").combine_chunks()
+    words = WordMap(spark, *(rows.column(name).combine_chunks() for name in ("word", "ids")))
+    del rows
+    pa.default_memory_pool().release_unused()
+    release(spark)
     is_long = lambda w: F.octet_length(w) > LONG_WORD
     split = split.withColumn("long_words", F.filter("words", is_long))
     split = split.withColumn("long_ids", long_word_encoder(path, public_tokenizers.PATTERN)("long_words"))

@@ -405,3 +405,16 @@ def test_pipeline_stages(spark):
     assert sizes[0] > sizes[1] > sizes[2] == sizes[3]
     out = corpus_pipeline.STAGES[-1][1](spark, frame, SF)
     assert out.count() == sizes[4]
+
+
+@pytest.mark.parametrize("spread", [3, 200])
+def test_topk_block_reads_in_several_steps(spread):
+    rng = np.random.default_rng(spread)
+    centres = rng.integers(-spread, spread + 1, (12, 6))
+    vecs = centres[rng.integers(0, 12, 900)] + rng.integers(-1, 2, (900, 6))
+    ids = rng.permutation(5000)[:900]
+    got = {i: [] for i in range(40)}
+    for i, row, score in topk.nra_block(vecs[:40], ids[:40], ids, vecs, 5):
+        got[i].append((-score, int(ids[row])))
+    for i in range(40):
+        assert got[i] == sorted((-int(s), int(j)) for s, j in zip(vecs @ vecs[i], ids) if j != ids[i])[:5]

@@ -117,12 +117,12 @@ def mc06(s, d):
 
 @query("mc15_staged_tail")
 def mc15(s, d):
-    return simulate.staged_tail(continuous_lines(s, d), m_max=10_000, materialize=kept)
+    return simulate.staged_tail(continuous_lines(s, d), materialize=kept)
 
 
-def _reported(s: SparkSession, d: str, m_max: int = 1_000) -> DataFrame:
+def _reported(s: SparkSession, d: str) -> DataFrame:
     lines = continuous_lines(s, d).unionByName(median_lines(s, d)).unionByName(category_lines(s, d))
-    return simulate.row_report(simulate.staged_tail(lines, m_max=m_max))
+    return simulate.row_report(simulate.staged_tail(lines, materialize=kept))
 
 
 @query("mc16_row_report")
@@ -132,12 +132,12 @@ def mc16(s, d):
 
 @query("mc11_median_simulation")
 def mc11(s, d):
-    return simulate.row_report(simulate.staged_tail(median_lines(s, d), m_max=10_000, materialize=kept)).select("trial", "p", "m", "status")
+    return simulate.row_report(simulate.staged_tail(median_lines(s, d), materialize=kept)).select("trial", "p", "m", "status")
 
 
 @query("mc14_category_simulation")
 def mc14(s, d):
-    return simulate.row_report(simulate.staged_tail(category_lines(s, d), m_max=1_000)).select("trial", "p", "m", "status")
+    return simulate.row_report(simulate.staged_tail(category_lines(s, d), materialize=kept)).select("trial", "p", "m", "status")
 
 
 @query("mc20_draws")

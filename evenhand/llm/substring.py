@@ -1,12 +1,14 @@
 """Substring dedup by line hashing.
 
-Lines are normalised and hashed; digests are grouped over all documents; the occurrence that ranks
-first by (doc_id, offset) stays and the others are removed, with their original offsets retained.
+Long lines, and runs of consecutive short lines that together are as long, are normalised and hashed;
+digests are grouped over all documents; the occurrence that ranks first by (doc_id, offset) stays and
+the others are removed, with their original offsets retained.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,33 +17,80 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, table, texts_of
 
-#: Lines of fewer words are left alone: short ones recur by chance.
+#: Lines and runs of lines of fewer words are left alone: short ones recur by chance.
 MIN_WORDS = 25
 _NONE = -(2**63)
 SPANS = "array<struct<start:long,end:long>>"
 
 
+def runs(sizes: list[int], min_words: int) -> set[tuple[int, int]]:
+    """(first, last) of the shortest runs of min_words words or more from every line on and up to every line.
+
+    Together they cover every line of any stretch that has as many words, so a repeated stretch is found whole.
+    """
+    before = [0, *itertools.accumulate(sizes)]
+    out, last, first = set(), 0, 0
+    for k in range(len(sizes)):
+        while last < len(sizes) and before[last + 1] - before[k] < min_words:
+            last += 1
+        if last < len(sizes):
+            out.add((k, last))
+        while before[k + 1] - before[first + 1] >= min_words:
+            first += 1
+        if before[k + 1] - before[first] >= min_words:
+            out.add((first, k))
+    return out
+
+
+def units_of(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """start, end (code points) and words of every long line, and of the runs of short ones between them; blank lines don't count."""
+    at, short = 0, []
+    for line in text.split("\n"):
+        words = line.encode("utf-8", "surrogatepass").lower().split()
+        if len(words) >= min_words:
+            yield from _runs_of(short, min_words)
+            short = []
+            yield at, at + len(line), b" ".join(words)
+        elif words:
+            short.append((at, at + len(line), words))
+        at += len(line) + 1
+    yield from _runs_of(short, min_words)
+
+
+def _runs_of(lines: list[tuple], min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    parts = [b" ".join(words) for _, _, words in lines]
+    for i, j in sorted(runs([len(words) for _, _, words in lines], min_words)):
+        yield lines[i][0], lines[j][1], b" ".join(parts[i : j + 1])
+
+
 def units(docs: DataFrame, min_words: int) -> DataFrame:
-    """id, start, end (code points) and digest of every line of min_words words or more."""
+    """id, start, end (code points) and digest of every line, and run of short lines, of min_words words or more."""
     def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for i, text in zip(pdf["id"], texts_of(pdf["text"])):
-                at = 0
-                for line in text.split("\n"):
-                    words = line.encode("utf-8", "surrogatepass").split()
-                    if len(words) >= min_words:
-                        out.append((i, at, at + len(line), hashlib.blake2b(b" ".join(words).lower(), digest_size=16).digest()))
-                    at += len(line) + 1
+                for a, b, words in units_of(text, min_words):
+                    out.append((i, a, b, hashlib.blake2b(words, digest_size=16).digest()))
             yield pd.DataFrame(out, columns=["id", "start", "end", "digest"])
 
     return docs.mapInPandas(of, "id long, start long, `end` long, digest binary")
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the given lines; a removed line takes its line break with it."""
     kept, at = [], 0
-    for a, b in sorted(spans):
+    for a, b in merged(spans):
         kept.append(text[at:a])
         at = b + 1
     kept.append(text[at:])
@@ -52,16 +101,20 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs with `text` cleaned, and `removed_spans`: offsets in the original text.
 
-    Lines are equal if their words are, whatever the white space between them and ASCII case. The first of equal lines by
-    (doc_id, offset) stays, also within a text; rows that repeat an id and text are one document and
+    Lines, and runs of lines, are equal if their words are, whatever the white space between them and ASCII case. The first
+    of equal ones by (doc_id, offset) stays, also within a text, where a run that overlaps the first one loses only what lies
+    behind it; rows that repeat an id and text are one document and
     keep the same lines. Null text stays null. Null ids rank first. An empty table gives no rows.
     """
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), "text")
     found = materialize(units(source, min_words), "lines")
-    place = F.struct("id", "start")
+    place = F.struct("id", "start", "end")
     # written, so that Spark can split a hot line's occurrences in the join below
     firsts = materialize(found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "lines-first")
-    again = found.join(firsts, "digest").filter(place != F.col("first")).select(F.col("id").alias("__id"), F.struct("start", "end").alias("span"))
+    again = found.join(firsts, "digest").filter(place != F.col("first"))
+    overlap = (F.col("id") == F.col("first.id")) & (F.col("start") < F.col("first.end"))
+    start = F.when(overlap, F.col("first.end") + 1).otherwise(F.col("start")).alias("start")
+    again = again.select(F.col("id").alias("__id"), F.struct(start, "end").alias("span"))
     spans = again.groupBy("__id").agg(F.array_sort(F.collect_set("span")).alias("removed_spans"))
     joined = docs.join(spans, F.coalesce(docs["doc_id"].cast("long"), F.lit(_NONE)) == spans["__id"], "left").drop("__id")
 
@@ -69,11 +122,12 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def clean(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            text = [
-                without(t, [(s["start"], s["end"]) for s in spans if s["start"] < len(t)]) if isinstance(t, str) and spans is not None and len(spans) else t
-                for t, spans in zip(pdf["__text"], pdf["__spans"])
-            ]
-            yield pdf.drop(columns=["__text", "__spans"]).assign(text=text, removed_spans=pdf["__spans"])
+            text, removed = [], []
+            for t, spans in zip(pdf["__text"], pdf["__spans"]):
+                cut = merged([(x["start"], x["end"]) for x in spans if x["start"] < len(t)]) if isinstance(t, str) and spans is not None else None
+                text.append(without(t, cut) if cut else t)
+                removed.append(None if spans is None else [{"start": a, "end": b} for a, b in cut or []])
+            yield pdf.drop(columns=["__text", "__spans"]).assign(text=text, removed_spans=removed)
 
     rest = [c for c in docs.columns if c != "text"]
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name in rest)

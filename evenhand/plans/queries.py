@@ -532,8 +532,17 @@ x AS (SELECT doc_id, item_id, CAST(len(list_intersect(p.bag, t.bag)) AS DOUBLE)
 r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS runner_up FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, item_id))
 SELECT doc_id, item_id, round(score, 6) AS score, score >= 0.75 AND score - coalesce(runner_up, 0) >= 0.15 AS accepted FROM r WHERE k = 1 AND score >= 0.6""")
 def cor14(s, d):
-    pages = table(s, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("page"), tx.bag_of(F.col("text")).alias("bag"))
-    titles = table(s, d, "benchmark").select(F.col("item_id").alias("title"), tx.bag_of(F.col("text")).alias("bag"))
+    return _titles(table(s, d, "documents").filter("lang = 'en'"), table(s, d, "benchmark"))
+
+
+@query("cor14_title_match_all_languages")
+def cor14_all(s, d):
+    return _titles(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
+def _titles(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    pages = documents.select(F.col("doc_id").alias("page"), tx.bag_of(F.col("text")).alias("bag"))
+    titles = benchmark.select(F.col("item_id").alias("title"), tx.bag_of(F.col("text")).alias("bag"))
     return corpus.title_matches(pages, titles).select(F.col("page").alias("doc_id"), F.col("title").alias("item_id"), r6("score"), "accepted")
 
 

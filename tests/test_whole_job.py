@@ -5,6 +5,7 @@ import inspect
 import pytest
 from pyspark.sql import functions as F
 
+from evenhand.functions import text as tx
 from evenhand.operators import simulate
 from evenhand.plans import queries as plans
 from evenhand.schema import LICENSE, M_MAX, STOP_P
@@ -34,3 +35,18 @@ def test_alarming_rows_run_to_the_last_stage(spark):
     alarming = [r for r in rows if r["p"] < STOP_P]
     assert alarming and all(r["m"] == M_MAX for r in alarming)
     assert all((r["upper"] < LICENSE) == (r["display"] == "<0.0001") for r in rows)
+
+
+def test_titles_are_matched_in_every_language(spark):
+    bags = lambda t, *cs: [(*r[:-1], set(r[-1])) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(*cs, tx.bag_of(F.col("text"))).collect()]
+    want, langs = {}, set()
+    titles = bags("benchmark", "item_id")
+    for doc, lang, bag in bags("documents", "doc_id", "lang"):
+        scores = sorted((-len(bag & t) / len(t), i) for i, t in titles if bag & t)
+        if scores and scores[0][0] <= -0.6:
+            next_best = -scores[1][0] if len(scores) > 1 else 0.0
+            want[doc] = (scores[0][1], round(-scores[0][0], 6), -scores[0][0] >= 0.75 and -scores[0][0] - next_best >= 0.15)
+            langs.add(lang)
+    got = plans.QUERIES["cor14_title_match_all_languages"](spark, SF).collect()
+    assert {r["doc_id"]: (r["item_id"], r["score"], r["accepted"]) for r in got} == want
+    assert langs > {"en"}

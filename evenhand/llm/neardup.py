@@ -4,8 +4,8 @@ Bands and rows are chosen for a target recall at the threshold. Texts with equal
 one class member; members meet on band hashes, where each is linked to the bucket's least member.
 The components of these links are candidate groups: supersets of the true ones, since two texts
 that share a band are both linked to its bucket's least member. Within a group, members are dealt
-into blocks of bounded size, every pair of blocks is one unit of work, and each pair of texts that
-shares a band is verified there on its full n-gram sets. Units return counts and spanning links,
+into blocks of bounded size, every pair of blocks is one unit of work, and each pair of texts whose
+sizes allow a link is verified there on its full n-gram sets. Units return counts and spanning links,
 never all pairs.
 """
 
@@ -100,15 +100,23 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _verify(rows: list[tuple], left: int, right: int, similarity: float) -> tuple[dict, list]:
-    """Links and spanning links of one unit. rows: (id, block, copies, text, bands)."""
-    seen, ids, block, copies, texts, bands = set(), [], [], [], [], []
-    for i, b, c, text, sig in rows:
+    """Links and spanning links of one unit. rows: (id, block, copies, text)."""
+    seen, ids, block, copies, texts = set(), [], [], [], []
+    for i, b, c, text in rows:
         if i not in seen:  # a repeated row fetched its text twice
             seen.add(i)
-            ids.append(i), block.append(b), copies.append(c), texts.append(text), bands.append(sig)
+            ids.append(i), block.append(b), copies.append(c), texts.append(text)
     grams = all_shingles(texts)
-    block, sizes, bands = np.array(block), np.array([len(g) for g in grams]), np.array(bands)
+    # in order of block and size, so that those a text can link to are neighbours
+    order = np.lexsort(([len(g) for g in grams], block)).tolist()
+    ids, block, copies, grams = [[x[k] for k in order] for x in (ids, block, copies, grams)]
+    sizes = np.array([len(g) for g in grams])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    codes = pd.factorize(np.concatenate(grams))[0]
+    del grams
     links, parent = np.zeros(len(ids), np.int64), list(range(len(ids)))
+    copies, marked = np.array(copies), np.zeros(codes.max(initial=-1) + 1, bool)
+    begin = 0 if left == right else int(np.searchsorted(block, right))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -116,33 +124,27 @@ def _verify(rows: list[tuple], left: int, right: int, similarity: float) -> tupl
             x = parent[x]
         return x
 
-    for x in range(len(ids)):
-        ys = np.arange(x + 1, len(ids)) if left == right else np.flatnonzero(block == right) if block[x] == left else np.zeros(0, np.int64)
-        if len(ys) == 0:
+    for x in range(len(ids) if left == right else begin):
+        # an exact bound: a link's smaller set has at least `similarity` of the larger one's size
+        low = x + 1 if left == right else begin + int(np.searchsorted(sizes[begin:], similarity * sizes[x] - 1e-6))
+        high = begin + int(np.searchsorted(sizes[begin:], sizes[x] / similarity + 1e-6, side="right"))
+        if low >= high:
             continue
-        least, most = np.minimum(sizes[x], sizes[ys]), np.maximum(sizes[x], sizes[ys])
-        ys = ys[(least >= similarity * most) & (bands[ys] == bands[x]).any(axis=1)]
+        own = codes[starts[x] : starts[x + 1]]
+        marked[own] = True
+        both = np.add.reduceat(marked[codes[starts[low] : starts[high]]], starts[low:high] - starts[low], dtype=np.int64)
+        marked[own] = False
+        ys = low + np.flatnonzero(both >= similarity * (sizes[x] + sizes[low:high] - both) - 1e-9)
+        links[x] += copies[ys].sum()
+        links[ys] += copies[x]
         for y in ys.tolist():
-            both = _common(grams[x], grams[y])
-            if both >= similarity * (sizes[x] + sizes[y] - both) - 1e-9:
-                links[x] += copies[y]
-                links[y] += copies[x]
-                a, b = root(x), root(y)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
+            a, b = root(x), root(y)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
     spans = [(ids[x], ids[root(x)]) for x in range(len(ids))]
     return dict(zip(ids, links.tolist())), spans
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted arrays of distinct values."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """id, class_id, n_links, n_grams per row of docs (doc_id, text).
 
@@ -166,10 +168,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     each = F.least(F.lit(max(block, FULL_BLOCK)), F.greatest(F.lit(block), F.ceil(F.col("n") / SPREAD)))
     sizes = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / each).cast("int")), "neardup-sizes")
     placed = groups.join(sizes, "root").select(F.col("node").alias("id"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    placed = placed.join(members.select("id", "copies", "bands"), "id")
+    placed = placed.join(members.select("id", "copies"), "id")
     fetched = source.join(placed, "id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = fetched.withColumn("other", other).select("root", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "id", "block", "copies", "text", "bands")
+    units = fetched.withColumn("other", other).select("root", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "id", "block", "copies", "text")
     keys = ["root", "left", "right"]
     units = units.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -182,12 +184,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
         for pdf in it:
             texts = texts_of(pdf["text"])
-            for n, (k0, k1, k2, i, b, c, sig) in enumerate(zip(pdf["root"], pdf["left"], pdf["right"], pdf["id"], pdf["block"], pdf["copies"], pdf["bands"])):
+            for n, (k0, k1, k2, i, b, c) in enumerate(zip(pdf["root"], pdf["left"], pdf["right"], pdf["id"], pdf["block"], pdf["copies"])):
                 if key != (k0, k1, k2):
                     if held:
                         yield done()
                     held, key = [], (k0, k1, k2)
-                held.append((i, b, c, texts[n], sig))
+                held.append((i, b, c, texts[n]))
         if held:
             yield done()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from evenhand.llm import substring
+from evenhand.llm import neardup, substring
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -82,3 +82,17 @@ def test_runs_cover_every_line_of_a_stretch():
             for b in range(a, 20):
                 if sum(sizes[a : b + 1]) >= 25:
                     assert {k for i, j in found if a <= i and j <= b for k in range(i, j + 1)} == set(range(a, b + 1))
+
+
+def test_pairs_that_meet_link_without_a_common_band(spark):
+    r, base, rows = random.Random(2), words(300, 77), []
+    for i in range(60):
+        w = list(base)
+        for k in r.sample(range(300), r.randint(1, 4)):
+            w[k] = f"e{i}-{k}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for _, t in rows]
+    want = {i: sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    assert 0 < sum(want.values()) < 60 * 59
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9, block=16).collect()
+    assert {x["doc_id"]: x["n_links"] for x in out} == want

@@ -362,6 +362,27 @@ def lay06(s, d):
     return table(s, d, "benchmark").select("item_id", tx.caption_score(F.concat(F.lit("table 1 Baseline patient characteristics of "), F.lit("n"))).alias("score"))
 
 
+_CAPTIONS = ("table 1 Baseline patient characteristics of ", "Table 2 Postoperative complication by group: ", "Characteristics: ", "Tab. I Demographic and clinical characteristics. ", "Adverse outcome, patient data ", "")
+_QUALIFIED = r"(patient|baseline|demographic|clinical|subject|participant|study|group)s?[' ]*\s*characteristic|characteristics\s+of\s+(the\s+)?(patient|subject|participant|study|group|population)"
+
+
+def _ladder() -> str:
+    one = lambda c, n: f"CASE WHEN {c} THEN {n} ELSE 0 END"
+    has = lambda p, i="i": "regexp_matches(t, '{}', '{}')".format(p.replace("'", "''"), i)
+    q = has(_QUALIFIED)
+    return " + ".join([
+        one(has("baseline"), 4), one(has("demographic|anthropometric"), 4), one(q, 3), one(f"{has('characteristic')} AND NOT {q}", 1), one(has(r"patient(s)?\s+(data|profile|detail)"), 2),
+        one(has(r"preoperative|pre-operative|on\s+admission"), 1), one(has(r"\bpatients?\b|\bsubjects?\b|\bgroups?\b"), 1), one(has(r"^\s*(table|tab\.?)\s+(1|I)\b", "c"), 2),
+        one(f"NOT ({has('baseline|demographic')} OR {q}) AND " + has("outcome|complication|adverse|side.?effect|intra-?operative|post-?operative|pain score|recovery|haemodynamic|hemodynamic"), -3),
+    ])
+
+
+@query("lay06_caption_score_texts", "WITH x AS (SELECT doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CAPTIONS)) + f" END || text AS t FROM documents) SELECT doc_id, CAST({_ladder()} AS INTEGER) AS score FROM x")
+def lay06_texts(s, d):
+    start = F.element_at(F.array(*map(F.lit, _CAPTIONS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(s, d, "documents").select("doc_id", tx.caption_score(F.concat(start, F.col("text"))).alias("score"))
+
+
 # Layout: words of documents as boxes, x from the place in the line, y from the line
 
 def _boxes(s: SparkSession, d: str) -> DataFrame:

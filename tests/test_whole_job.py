@@ -50,3 +50,9 @@ def test_titles_are_matched_in_every_language(spark):
     got = plans.QUERIES["cor14_title_match_all_languages"](spark, SF).collect()
     assert {r["doc_id"]: (r["item_id"], r["score"], r["accepted"]) for r in got} == want
     assert langs > {"en"}
+
+
+def test_caption_scores_read_the_texts(spark):
+    scores = {r["score"] for r in plans.QUERIES["lay06_caption_score_texts"](spark, SF).collect()}
+    # a baseline caption, an outcome table, a bare characteristic and no caption at all
+    assert {10, -2, 1, 0} <= scores

@@ -1,4 +1,4 @@
-"""Joins, dedup, identification and worklists over bibliographies."""
+"""Joins, dedup, title matches, suffix keys, batches and agreement of values over bibliographies."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""One query per operator over whole test tables, with the SQL that another engine can run beside it."""
+"""Queries of operators over whole test tables, with the SQL that another engine can run beside them."""
 
 from __future__ import annotations
 

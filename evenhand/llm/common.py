@@ -77,6 +77,27 @@ def small_batches(spark: SparkSession, rows: int = 65_536, size: str = "4m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+KEY = ["__id", "__t1", "__t2"]
+_NO_ID = -(2**63)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """`row`, all columns of docs as a struct whatever their names, and a row's key: its id, the least for null, and 128 bits of its text.
+
+    Rows that repeat an id with another text have keys of their own; rows that repeat both share one.
+    """
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return row.withColumns(
+        {"__id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID)), "__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("second"), text, F.col("row.text").isNull())}
+    )
+
+
+def id_of(key: Column) -> Column:
+    """The id of a key's first part: null for the least."""
+    return F.when(key != _NO_ID, key)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     stripped = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{GAP}|{GAP}$", "")
@@ -121,41 +142,52 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverse ** i, modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        _POWERS[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            out = np.ones(size, np.uint64)
-            with np.errstate(over="ignore"):
-                out[1:] = np.uint64(base)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and its inverse ** i, modulo 2 ** 64; base is odd."""
+    held = _POWERS.get(base)
+    if held is None or len(held[0]) < n:
+        held = tuple(np.ones(max(n, 1 << 16), np.uint64) for _ in range(2))
+        with np.errstate(over="ignore"):
+            for out, factor in zip(held, (base, pow(base, -1, 1 << 64))):
+                out[1:] = np.uint64(factor)
                 np.multiply.accumulate(out, out=out)
-            _POWERS.append(out)
-    return _POWERS[0][:n], _POWERS[1][:n]
+        _POWERS[base] = held
+    return held[0][:n], held[1][:n]
 
 
-def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, in order, and the number of words of each text.
+def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """64-bit hashes of the stretches [start, end) of 64-bit values: polynomials from prefix sums, mixed with the length."""
+    power, inverse = _powers(base, len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(values * power[: len(values)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
 
-    A word's hash is a polynomial of its bytes' random values, taken from prefix sums over all
-    texts at once, and mixed with its length. lower: A to Z count as a to z.
+class Words:
+    """The words of all texts, in order: their hashes, and their places in the texts' UTF-8 bytes, joined by line breaks.
+
+    lower: A to Z count as a to z.
     """
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    joined = b"\n".join(raw)
-    data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
-    ends_of_texts = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-        hashes = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    last = np.searchsorted(starts, ends_of_texts)
-    return hashes, np.diff(last, prepend=0)
+
+    def __init__(self, texts: list[str], lower: bool = False):
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        joined = b"\n".join(raw)
+        self.data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+        self.text_ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
+        inside = np.zeros(len(self.data) + 2, np.int8)
+        inside[1:-1] = ~_SPACE[self.data]
+        edge = np.diff(inside)
+        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.hashes = stretch_hashes(_BYTE[self.data], self.starts, self.ends)
+        #: words of each text
+        self.sizes = np.diff(np.searchsorted(self.starts, self.text_ends), prepend=0)
+
+
+def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, in order, and the number of words of each text."""
+    words = Words(texts, lower)
+    return words.hashes, words.sizes

@@ -1,155 +1,203 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing clauses and runs of them.
 
-Long lines, and runs of consecutive short lines that together are as long, are normalised and hashed;
-digests are grouped over all documents; the occurrence that ranks first by (doc_id, offset) stays and
-the others are removed, with their original offsets retained.
+A text's lines are cut into units: clauses that end with a punctuation mark, and shorter pieces where the
+words themselves say so, so that two texts that share a passage share its units wherever it stands in their
+lines. Runs of consecutive units that together reach a number of words are normalised and hashed; digests
+are grouped over all documents; the occurrence that ranks first stays and the others are removed, with
+their original offsets retained.
 """
 
 from __future__ import annotations
 
-import hashlib
-import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, texts_of
+from .common import KEY, Words, keyed, materialize, mixed, sliced, small_batches, stretch_hashes, table, texts_of
 
-#: Lines and runs of lines of fewer words are left alone: short ones recur by chance.
+#: Runs of fewer words are left alone: short ones recur by chance.
 MIN_WORDS = 25
-_NONE = -(2**63)
+#: A word ends a unit if it ends with one of these bytes, or if its hash is 0 modulo CUT (one word in CUT).
+CLOSING = b".!?;:,"
+CUT = 16
+_BASE2 = 0xD1342543DE82EF95
 SPANS = "array<struct<start:long,end:long>>"
 
 
-def runs(sizes: list[int], min_words: int) -> set[tuple[int, int]]:
-    """(first, last) of the shortest runs of min_words words or more from every line on and up to every line.
+def runs(before: np.ndarray, owner: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) units of the shortest runs of min_words words or more from every unit on and up to every unit.
 
-    Together they cover every line of any stretch that has as many words, so a repeated stretch is found whole.
+    before: words before each unit, and all words; owner: the text of each unit, which a run doesn't leave. Together
+    the runs cover every unit of any stretch that has as many words, so a repeated stretch is found whole.
     """
-    before = [0, *itertools.accumulate(sizes)]
-    out, last, first = set(), 0, 0
-    for k in range(len(sizes)):
-        while last < len(sizes) and before[last + 1] - before[k] < min_words:
-            last += 1
-        if last < len(sizes):
-            out.add((k, last))
-        while before[k + 1] - before[first + 1] >= min_words:
-            first += 1
-        if before[k + 1] - before[first] >= min_words:
-            out.add((first, k))
-    return out
-
-
-def units_of(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """start, end (code points) and words of every long line, and of the runs of short ones between them; blank lines don't count."""
-    at, short = 0, []
-    for line in text.split("\n"):
-        words = line.encode("utf-8", "surrogatepass").lower().split()
-        if len(words) >= min_words:
-            yield from _runs_of(short, min_words)
-            short = []
-            yield at, at + len(line), b" ".join(words)
-        elif words:
-            short.append((at, at + len(line), words))
-        at += len(line) + 1
-    yield from _runs_of(short, min_words)
-
-
-def _runs_of(lines: list[tuple], min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    parts = [b" ".join(words) for _, _, words in lines]
-    for i, j in sorted(runs([len(words) for _, _, words in lines], min_words)):
-        yield lines[i][0], lines[j][1], b" ".join(parts[i : j + 1])
+    n = len(owner)
+    at = np.arange(n)
+    last = np.searchsorted(before, before[:-1] + min_words, side="left") - 1
+    first = np.searchsorted(before, before[1:] - min_words, side="right") - 1
+    pairs = np.concatenate([np.stack([at, last], 1)[last < n], np.stack([first, at], 1)[first >= 0]])
+    pairs = np.unique(pairs[owner[pairs[:, 0]] == owner[pairs[:, 1]]], axis=0) if len(pairs) else pairs
+    return pairs[:, 0], pairs[:, 1]
+
+
+def repeats_of(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
+    """text, start, end (code points) and two hashes of every run of units of min_words words or more."""
+    words = Words(texts, lower=True)
+    owner = np.repeat(np.arange(len(texts)), words.sizes)
+    closing = np.zeros(256, bool)
+    closing[list(CLOSING)] = True
+    cut = words.hashes % np.uint64(CUT) == 0
+    if len(cut):
+        cut |= closing[words.data[words.ends - 1]]
+        breaks = np.concatenate(([0], np.cumsum(words.data == 10)))
+        cut[:-1] |= breaks[words.starts[1:]] > breaks[words.ends[:-1]]  # the text breaks are line breaks too
+        cut[-1] = True
+    close = np.flatnonzero(cut)
+    before = np.concatenate(([0], close + 1))
+    first, last = runs(before, owner[close], min_words)
+    a, b = before[first], before[last + 1]
+    points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
+    start_of_text = points[np.concatenate(([0], words.text_ends[:-1]))] if len(texts) else points[:0]
+    of = owner[a]
+    # two hashes of different values: together 128 bits
+    h1 = stretch_hashes(words.hashes, a, b).astype(np.int64)
+    h2 = stretch_hashes(mixed(words.hashes ^ np.uint64(_BASE2)), a, b, _BASE2).astype(np.int64)
+    return of, points[words.starts[a]] - start_of_text[of], points[words.ends[b - 1]] - start_of_text[of], h1, h2
 
 
 def units(docs: DataFrame, min_words: int) -> DataFrame:
-    """id, start, end (code points) and digest of every line, and run of short lines, of min_words words or more."""
+    """A row's key, start, end (code points) and digest of every run of min_words words or more."""
     def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for i, text in zip(pdf["id"], texts_of(pdf["text"])):
-                for a, b, words in units_of(text, min_words):
-                    out.append((i, a, b, hashlib.blake2b(words, digest_size=16).digest()))
-            yield pd.DataFrame(out, columns=["id", "start", "end", "digest"])
+            texts = texts_of(pdf["text"])
+            for a, b in sliced(texts):
+                row, start, end, h1, h2 = repeats_of(texts[a:b], min_words)
+                keys = {k: pdf[k].to_numpy()[a:b][row] for k in KEY}
+                yield pd.DataFrame(keys | {"start": start, "end": end, "h1": h1, "h2": h2})
 
-    return docs.mapInPandas(of, "id long, start long, `end` long, digest binary")
+    schema = "__id long, __t1 long, __t2 long, start long, `end` long, h1 long, h2 long"
+    return docs.select(*KEY, F.col("row.text").alias("text")).mapInPandas(of, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The spans in order, overlapping ones as one."""
+    """The spans in order, those that overlap or touch as one."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
-        if out and a < out[-1][1]:
+        if out and a <= out[-1][1]:
             out[-1] = out[-1][0], max(b, out[-1][1])
         else:
             out.append((a, b))
     return out
 
 
+_GAP = " \t\n\v\f\r"
+
+
+def widened(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, merged over the white space between them, with the white space that would be left over.
+
+    A span that begins a line takes what follows it up to the line break and the break too; another one takes
+    the white space before it.
+    """
+    joined: list[tuple[int, int]] = []
+    for a, b in merged(spans):
+        if joined and not text[joined[-1][1] : a].strip(_GAP):
+            joined[-1] = joined[-1][0], b
+        else:
+            joined.append((a, b))
+    out: list[tuple[int, int]] = []
+    for a, b in joined:
+        left, right = a, b
+        while left and text[left - 1] in " \t\v\f\r":
+            left -= 1
+        if left == 0 or text[left - 1] == "\n":
+            while right < len(text) and text[right] in " \t\v\f\r":
+                right += 1
+            if right < len(text) and text[right] == "\n":
+                right += 1
+            elif right == len(text) and left:
+                left -= 1  # the last line goes with the break before it
+        out.append((left, right))
+    return merged(out)
+
+
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the given lines; a removed line takes its line break with it."""
+    """The text without the given stretches."""
     kept, at = [], 0
     for a, b in merged(spans):
         kept.append(text[at:a])
-        at = b + 1
+        at = b
     kept.append(text[at:])
-    out = "".join(kept)
-    return out[:-1] if spans and at > len(text) and out.endswith("\n") else out
+    return "".join(kept)
+
+
+def cleaned(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    """A text without its spans, and the stretches removed; nothing where there is no text or span."""
+    texts, removed = [], []
+    for t, a, b in zip(text, starts, ends):
+        cut = widened(t, list(zip(a.tolist(), b.tolist()))) if isinstance(t, str) and a is not None and len(a) else []
+        texts.append(without(t, cut) if cut else t if isinstance(t, str) else None)
+        removed.append([{"start": x, "end": y} for x, y in cut])
+    return pd.DataFrame({"text": pd.Series(texts, dtype=object), "spans": pd.Series(removed, dtype=object)})
+
+
+def spans_of(rows: DataFrame, min_words: int) -> DataFrame:
+    """A row's key, `starts` and `ends` of the runs that stood elsewhere before; rows as of keyed()."""
+    found = materialize(units(rows, min_words), "runs")
+    place = F.struct(*KEY, "start", "end")
+    # written, so that Spark can split a hot run's occurrences in the join below
+    firsts = materialize(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "runs-first")
+    again = found.join(firsts, ["h1", "h2"]).filter(place != F.col("first"))
+    own = F.lit(True)
+    for k in KEY:
+        own &= F.col(k) == F.col(f"first.{k}")
+    overlap = own & (F.col("start") < F.col("first.end"))
+    start = F.when(overlap, F.col("first.end")).otherwise(F.col("start")).alias("start")
+    again = again.select(*KEY, F.struct(start, F.col("end")).alias("span"))
+    gathered = again.groupBy(*KEY).agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    return gathered.select(*KEY, F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of docs with `text` cleaned, and `removed_spans`: offsets in the original text.
+    """`row`, a struct of all columns of docs, `text`, its text cleaned, and `removed_spans`, offsets (code points) in the original text.
 
-    Lines, and runs of lines, are equal if their words are, whatever the white space between them and ASCII case. The first
-    of equal ones by (doc_id, offset) stays, also within a text, where a run that overlaps the first one loses only what lies
-    behind it; rows that repeat an id and text are one document and
-    keep the same lines. Null text stays null. Null ids rank first. An empty table gives no rows.
+    Stretches of text are equal if their words are, whatever the white space between them and ASCII case. The first
+    of equal ones by (doc_id, hash of the text, offset) stays, also within a text, where a run that overlaps the first one
+    loses only what lies behind it. Rows that repeat an id and text are one document and keep the same
+    text; rows that repeat an id with another text are documents of their own, also with null ids, which rank first. Null text stays
+    null. Texts of any length and ties have no other rule. An empty table gives no rows. Extra columns may have any names.
     """
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), "text")
-    found = materialize(units(source, min_words), "lines")
-    place = F.struct("id", "start", "end")
-    # written, so that Spark can split a hot line's occurrences in the join below
-    firsts = materialize(found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "lines-first")
-    again = found.join(firsts, "digest").filter(place != F.col("first"))
-    overlap = (F.col("id") == F.col("first.id")) & (F.col("start") < F.col("first.end"))
-    start = F.when(overlap, F.col("first.end") + 1).otherwise(F.col("start")).alias("start")
-    again = again.select(F.col("id").alias("__id"), F.struct(start, "end").alias("span"))
-    spans = again.groupBy("__id").agg(F.array_sort(F.collect_set("span")).alias("removed_spans"))
-    joined = docs.join(spans, F.coalesce(docs["doc_id"].cast("long"), F.lit(_NONE)) == spans["__id"], "left").drop("__id")
-
-    schema = joined.schema
-
-    def clean(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            text, removed = [], []
-            for t, spans in zip(pdf["__text"], pdf["__spans"]):
-                cut = merged([(x["start"], x["end"]) for x in spans if x["start"] < len(t)]) if isinstance(t, str) and spans is not None else None
-                text.append(without(t, cut) if cut else t)
-                removed.append(None if spans is None else [{"start": a, "end": b} for a, b in cut or []])
-            yield pdf.drop(columns=["__text", "__spans"]).assign(text=text, removed_spans=removed)
-
-    rest = [c for c in docs.columns if c != "text"]
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name in rest)
-    spec = ", ".join(x for x in (spec, f"text string, removed_spans {SPANS}") if x)
-    packed = joined.select(*rest, F.col("text").alias("__text"), F.col("removed_spans").alias("__spans"))
-    return packed.mapInPandas(clean, spec)
+    rows = keyed(docs)
+    spans = spans_of(rows, min_words)
+    joined = rows.join(spans, KEY, "left")
+    again = F.col("starts").isNotNull()
+    clean = F.pandas_udf(cleaned, f"struct<text:string,spans:{SPANS}>")
+    done = clean(F.when(again, F.col("row.text")), F.col("starts"), F.col("ends"))
+    joined = joined.select("row", "starts", done.alias("done"))
+    text = F.when(again, F.col("done.text")).otherwise(F.col("row.text"))
+    return joined.select("row", text.alias("text"), F.coalesce("done.spans", F.expr(f"cast(array() as {SPANS})")).alias("removed_spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    cleaned = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    spans = F.coalesce("removed_spans", F.expr(f"cast(array() as {SPANS})"))
+    found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("removed_spans")
     size = F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return cleaned.select(
-        "doc_id", "text", spans.alias("removed_spans"), F.size(spans).cast("long").alias("n_removed"), size.alias("removed_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "text", spans, F.size(spans).cast("long").alias("n_removed"), size.alias("removed_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
     )
 
 
 def keep_first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: texts without lines that an earlier document holds; n_chars follows where there is one."""
+    """Stage: texts without the passages that an earlier document holds; n_chars follows where there is one.
+
+    A document that loses all its words stays, with an empty text. Nulls, ties and empty tables as in deduplicated().
+    """
     small_batches(spark)
-    cleaned = deduplicated(docs)
+    found = deduplicated(docs)
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -303,33 +303,60 @@ def test_bands_reach_the_recall():
 # op8
 
 
+def covered(words, earlier, width=substring.MIN_WORDS):
+    """Positions in windows of `width` words that are among the earlier ones."""
+    return {k + j for k in range(len(words) - width + 1) if tuple(words[k : k + width]) in earlier for j in range(width)}
+
+
 def test_substring_dedup_equals_brute_force(spark):
     r = random.Random(4)
-    lines = [sentences(30, s) for s in range(20)] + [sentences(5, s) for s in range(5)]
-    rows = [(i, "\n".join(r.choices(lines, k=r.randint(1, 6)))) for i in range(60)]
-    seen, want = set(), {}
-    for i, t in sorted(rows):
-        kept = []
-        for line in t.split("\n"):
-            if len(line.split()) >= substring.MIN_WORDS and line in seen:
-                continue
-            seen.add(line)
-            kept.append(line)
-        want[i] = "\n".join(kept)
-    out = substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    original = dict(rows)
-    assert {x["doc_id"]: x["text"] for x in out} == want
-    for x in out:
-        for s in x["removed_spans"] or []:
-            assert original[x["doc_id"]][s["start"] : s["end"]] in lines
+    mark = lambda ws: " ".join(w + r.choice(["", "", "", "", ",", ".", ";\n"]) for w in ws)
+    passages = [mark(r.choices(WORDS, k=r.randint(60, 120))) for _ in range(8)]
+    rows = [(i, " ".join(x for _ in range(r.randint(1, 4)) for x in (mark(r.choices(WORDS, k=r.randint(0, 40))), r.choice(passages)))) for i in range(60)]
+    out = {x["row"]["doc_id"]: x for x in substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    earlier, left, gone, again = set(), 0, 0, 0
+    for i, text in rows:
+        found = out[i]
+        spans = [(x["start"], x["end"]) for x in found["removed_spans"]]
+        assert substring.without(text, spans) == found["text"]
+        words = text.split()
+        for k in range(len(words) - substring.MIN_WORDS + 1):
+            earlier.add((i, k, tuple(words[k : k + substring.MIN_WORDS])))
+        at, cut = 0, set()
+        for k, w in enumerate(words):
+            at = text.index(w, at)
+            cut |= {k} if any(a <= at < b for a, b in spans) else set()
+            at += len(w)
+        before = covered(words, {w for j, _, w in earlier if j < i})
+        inside = {k for k in cut if k not in before}
+        own = {}
+        for k in range(len(words) - substring.MIN_WORDS + 1):
+            own.setdefault(tuple(words[k : k + substring.MIN_WORDS]), []).append(k)
+        # what goes stood in a run of MIN_WORDS words earlier, in another text or in this one
+        later = {k + j for ks in own.values() for k in ks[1:] for j in range(substring.MIN_WORDS)}
+        assert inside <= later
+        left, gone, again = left + len(words) - len(cut), gone + len(cut & before), again + len(before)
+    assert gone > 0.9 * again > 0
+    for p in passages:
+        assert any(p in x["text"] for x in out.values()) or not any(p in t for _, t in rows)
 
 
 def test_substring_edges(spark, edge, none):
-    out = substring.deduplicated(edge)
-    assert out.columns == [*[c for c in edge.columns if c != "text"], "text", "removed_spans"]
+    odd = edge.withColumn("removed_spans", F.lit(1)).withColumn("__spans", F.lit("s")).withColumn("__id", F.lit("i")).withColumn("row", F.lit(2)).withColumn("a.b", F.lit(3))
+    out = substring.deduplicated(odd)
+    assert out.columns == ["row", "text", "removed_spans"] and sorted(out.schema["row"].dataType.names) == sorted(odd.columns)
     assert sorted(str(x["text"]) for x in out.collect()) == sorted(str(t) for _, t, _ in edge_rows())
-    assert substring.deduplicated(none).count() == 0
-    assert substring.keep_first_lines(spark, edge, "").columns == edge.columns
+    assert substring.deduplicated(none).count() == 0 and substring.keep_first_lines(spark, none, "").count() == 0
+    kept = substring.keep_first_lines(spark, odd, "")
+    assert kept.columns == odd.columns and kept.count() == 8
+
+
+def test_substring_keeps_texts_that_share_an_id_apart(spark):
+    one, two, tail = sentences(40, 1) + ".", sentences(40, 2) + ".", "unrelated tail words"
+    rows = [(None, two), (None, "alone here"), (None, None), (7, one), (8, f"{one}\n{tail}"), (8, f"{two} own words at the end"), (8, f"{one}\n{tail}")]
+    out = substring.keep_first_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(None, two), (None, "alone here"), (None, None), (7, one), (8, tail), (8, "own words at the end"), (8, tail)]
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
 
 
 # op9

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from evenhand.llm import neardup, substring
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -26,10 +28,10 @@ def cleaned(spark, rows):
     out = substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     original = dict(rows)
     for x in out:
-        spans = [(s["start"], s["end"]) for s in x["removed_spans"] or []]
-        assert substring.without(original[x["doc_id"]], spans) == x["text"]
-        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
-    return {x["doc_id"]: x["text"] for x in out}
+        spans = [(s["start"], s["end"]) for s in x["removed_spans"]]
+        assert substring.without(original[x["row"]["doc_id"]], spans) == x["text"]
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    return {x["row"]["doc_id"]: x["text"] for x in out}
 
 
 def test_repeats_in_short_lines_are_removed_whole(spark):
@@ -42,48 +44,36 @@ def test_repeats_in_short_lines_are_removed_whole(spark):
 
 
 def test_a_run_keeps_its_first_occurrence(spark):
-    line = "a b c d e"
+    line = "a b c d e."
     out = cleaned(spark, [(1, "\n".join([line] * 12)), (2, "\n".join([line] * 7)), (3, "\n".join([line] * 4))])
     assert out == {1: "\n".join([line] * 5), 2: "", 3: "\n".join([line] * 4)}
 
 
-def test_short_line_repeats_equal_brute_force(spark):
-    r = random.Random(3)
-    lines = [" ".join(words(r.randint(1, 12), s)) for s in range(30)]
-    passages = ["\n".join(lines[a : a + r.randint(4, 9)]) for a in range(0, 30, 3)]
-    rows = [(i, "\n".join(r.choices([*passages, *lines], k=r.randint(1, 6)))) for i in range(40)]
-    found = substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    gone = {x["doc_id"]: [(s["start"], s["end"]) for s in x["removed_spans"] or []] for x in found}
-    earlier, left = set(), set()
-    for i, text in rows:
-        ls, at, here, again, before = text.split("\n"), 0, set(), set(), set(earlier)
-        for a in range(len(ls)):
-            for b in range(a, len(ls)):
-                part = tuple(ls[a : b + 1])
-                if len(" ".join(part).split()) >= substring.MIN_WORDS:
-                    again |= set(range(a, b + 1)) if part in before else set()
-                    here |= set(range(a, b + 1)) if part in earlier else set()
-                    earlier.add(part)
-        for k, line in enumerate(ls):
-            cut = any(a <= at and at + len(line) <= b for a, b in gone[i])
-            # a stretch of an earlier text goes, and nothing goes that did not stand earlier
-            assert cut or k not in again
-            assert not cut or k in here
-            left |= set() if cut else {line}
-            at += len(line) + 1
-    assert left == {line for _, t in rows for line in t.split("\n")} and sum(map(len, gone.values())) > 10
-
-
-def test_runs_cover_every_line_of_a_stretch():
+def test_runs_cover_every_unit_of_a_stretch():
     for seed in range(30):
-        sizes = random.Random(seed).choices(range(1, 25), k=20)
-        found = substring.runs(sizes, 25)
-        for a in range(20):
-            for b in range(a, 20):
-                if sum(sizes[a : b + 1]) >= 25:
+        r = random.Random(seed)
+        sizes, owner = r.choices(range(1, 30), k=30), sorted(r.choices(range(3), k=30))
+        first, last = substring.runs(np.concatenate(([0], np.cumsum(sizes))), np.array(owner), 25)
+        found = set(zip(first.tolist(), last.tolist()))
+        assert all(owner[i] == owner[j] and sum(sizes[i : j + 1]) >= 25 for i, j in found)
+        for a in range(30):
+            for b in range(a, 30):
+                if sum(sizes[a : b + 1]) >= 25 and owner[a] == owner[b]:
                     assert {k for i, j in found if a <= i and j <= b for k in range(i, j + 1)} == set(range(a, b + 1))
 
 
+def test_removed_stretches_leave_whole_lines():
+    text = "one two. three four.\nfive six\n\nseven"
+    def cut(*parts):
+        return substring.without(text, substring.widened(text, [(text.index(p), text.index(p) + len(p)) for p in parts]))
+
+    assert cut("three four.") == "one two.\nfive six\n\nseven"
+    assert cut("one two.") == "three four.\nfive six\n\nseven"
+    assert cut("five six") == "one two. three four.\n\nseven"
+    assert cut("seven") == "one two. three four.\nfive six\n"
+    assert cut("one two.", "three four.", "five six", "seven") == ""
+
+
 def test_pairs_that_meet_link_without_a_common_band(spark):
     r, base, rows = random.Random(2), words(300, 77), []
     for i in range(60):

@@ -77,20 +77,17 @@ def small_batches(spark: SparkSession, rows: int = 65_536, size: str = "4m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-KEY = ["__id", "__t1", "__t2"]
+KEY = ["__id", "__text"]
 _NO_ID = -(2**63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`row`, all columns of docs as a struct whatever their names, and a row's key: its id, the least for null, and 128 bits of its text.
+    """`row`, all columns of docs as a struct whatever their names, and a row's key: its id, the least for null, and a hash of its text.
 
     Rows that repeat an id with another text have keys of their own; rows that repeat both share one.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    text = F.coalesce(F.col("row.text"), F.lit(""))
-    return row.withColumns(
-        {"__id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID)), "__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("second"), text, F.col("row.text").isNull())}
-    )
+    return row.withColumns({"__id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID)), "__text": F.xxhash64("row.text", F.col("row.text").isNull())})
 
 
 def id_of(key: Column) -> Column:

@@ -1,10 +1,9 @@
-"""Substring dedup by hashing clauses and runs of them.
+"""Substring dedup by hashing pieces of lines and runs of them.
 
-A text's lines are cut into units: clauses that end with a punctuation mark, and shorter pieces where the
-words themselves say so, so that two texts that share a passage share its units wherever it stands in their
-lines. Runs of consecutive units that together reach a number of words are normalised and hashed; digests
-are grouped over all documents; the occurrence that ranks first stays and the others are removed, with
-their original offsets retained.
+Lines are cut into pieces where their words say so, so that two texts that share a passage share its
+pieces wherever it stands in their lines. Runs of consecutive pieces that together reach a number of words are
+normalised and hashed; digests are grouped over all documents; the occurrence that ranks first stays and the
+others are removed, with their original offsets retained.
 """
 
 from __future__ import annotations
@@ -14,71 +13,88 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import KEY, Words, keyed, materialize, mixed, sliced, small_batches, stretch_hashes, table, texts_of
+from .common import KEY, Words, keyed, mixed, sliced, small_batches, stretch_hashes, table, texts_of
 
 #: Runs of fewer words are left alone: short ones recur by chance.
 MIN_WORDS = 25
-#: A word ends a unit if it ends with one of these bytes, or if its hash is 0 modulo CUT (one word in CUT).
-CLOSING = b".!?;:,"
-CUT = 16
+#: A piece ends with its line, or with a word whose hash is the least among so many words before and after it.
+NEAR = 4
 _BASE2 = 0xD1342543DE82EF95
 SPANS = "array<struct<start:long,end:long>>"
 
 
+def piece_ends(words: Words, owner: np.ndarray, near: int = NEAR) -> np.ndarray:
+    """The last words of the pieces; owner: each word's text. Only a text's own words decide."""
+    h = words.hashes
+    ends = np.ones(len(h), bool)
+    for k in range(1, near + 1):
+        other = owner[:-k] != owner[k:]
+        ends[:-k] &= other | (h[:-k] <= h[k:])
+        ends[k:] &= other | (h[k:] < h[:-k])
+    breaks = np.concatenate(([0], np.cumsum(words.data == 10)))
+    ends[:-1] |= breaks[words.starts[1:]] > breaks[words.ends[:-1]]  # a line break stands between texts too
+    ends[-1:] = True
+    return np.flatnonzero(ends)
+
+
 def runs(before: np.ndarray, owner: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) units of the shortest runs of min_words words or more from every unit on and up to every unit.
+    """(first, last) pieces of the shortest runs of min_words words or more from every piece on and up to every piece.
 
-    before: words before each unit, and all words; owner: the text of each unit, which a run doesn't leave. Together
-    the runs cover every unit of any stretch that has as many words, so a repeated stretch is found whole.
+    before: words before each piece, and all words; owner: the text of each piece, which a run doesn't leave. Together
+    the runs cover every piece of any stretch that has as many words.
     """
     n = len(owner)
     at = np.arange(n)
     last = np.searchsorted(before, before[:-1] + min_words, side="left") - 1
     first = np.searchsorted(before, before[1:] - min_words, side="right") - 1
-    pairs = np.concatenate([np.stack([at, last], 1)[last < n], np.stack([first, at], 1)[first >= 0]])
-    pairs = np.unique(pairs[owner[pairs[:, 0]] == owner[pairs[:, 1]]], axis=0) if len(pairs) else pairs
-    return pairs[:, 0], pairs[:, 1]
+    codes = np.unique(np.concatenate([(at * n + last)[last < n], (first * n + at)[first >= 0]]))
+    first, last = np.divmod(codes, max(n, 1))
+    own = owner[first] == owner[last]
+    return first[own], last[own]
 
 
-def repeats_of(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
-    """text, start, end (code points) and two hashes of every run of units of min_words words or more."""
+def runs_of(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
+    """text, start, end (code points) and two hashes (together 96 bits) of every run of pieces of min_words words or more."""
     words = Words(texts, lower=True)
     owner = np.repeat(np.arange(len(texts)), words.sizes)
-    closing = np.zeros(256, bool)
-    closing[list(CLOSING)] = True
-    cut = words.hashes % np.uint64(CUT) == 0
-    if len(cut):
-        cut |= closing[words.data[words.ends - 1]]
-        breaks = np.concatenate(([0], np.cumsum(words.data == 10)))
-        cut[:-1] |= breaks[words.starts[1:]] > breaks[words.ends[:-1]]  # the text breaks are line breaks too
-        cut[-1] = True
-    close = np.flatnonzero(cut)
-    before = np.concatenate(([0], close + 1))
-    first, last = runs(before, owner[close], min_words)
+    ends = piece_ends(words, owner)
+    before = np.concatenate(([0], ends + 1))
+    first, last = runs(before, owner[ends], min_words)
     a, b = before[first], before[last + 1]
     points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
     start_of_text = points[np.concatenate(([0], words.text_ends[:-1]))] if len(texts) else points[:0]
     of = owner[a]
-    # two hashes of different values: together 128 bits
     h1 = stretch_hashes(words.hashes, a, b).astype(np.int64)
-    h2 = stretch_hashes(mixed(words.hashes ^ np.uint64(_BASE2)), a, b, _BASE2).astype(np.int64)
+    h2 = stretch_hashes(mixed(words.hashes ^ np.uint64(_BASE2)), a, b, _BASE2).astype(np.int32)
     return of, points[words.starts[a]] - start_of_text[of], points[words.ends[b - 1]] - start_of_text[of], h1, h2
 
 
-def units(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row's key, start, end (code points) and digest of every run of min_words words or more."""
-    def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            texts = texts_of(pdf["text"])
-            for a, b in sliced(texts):
-                row, start, end, h1, h2 = repeats_of(texts[a:b], min_words)
-                keys = {k: pdf[k].to_numpy()[a:b][row] for k in KEY}
-                yield pd.DataFrame(keys | {"start": start, "end": end, "h1": h1, "h2": h2})
+def occurrences(ids: np.ndarray, hashes: np.ndarray, texts: list[str], min_words: int) -> pd.DataFrame:
+    """__id, __text, start, end, h1, h2, again of every run of some rows.
 
-    schema = "__id long, __t1 long, __t2 long, start long, `end` long, h1 long, h2 long"
-    return docs.select(*KEY, F.col("row.text").alias("text")).mapInPandas(of, schema)
+    again: the run stands in these rows before, in order of (id, text hash, start). So a run adds one
+    occurrence a batch at most to its group, however often it stands in one. Of a run that overlaps the first
+    one in its text only what lies behind that counts.
+    """
+    one = np.unique(np.stack([ids, hashes], 1), axis=0, return_index=True)[1] if len(ids) else np.zeros(0, np.int64)
+    parts = []
+    for a, b in sliced([texts[i] for i in one]):
+        of, *rest = runs_of([texts[i] for i in one[a:b]], min_words)
+        row = one[a:b][of]
+        parts.append((ids[row], hashes[row], *rest))
+    columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6
+    order = np.lexsort([columns[k] for k in (2, 1, 0, 5, 4)])
+    i, t, start, end, h1, h2 = (x[order] for x in columns)
+    new = np.ones(len(i), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(i) else np.zeros(0, np.int64)
+    overlaps = ~new & (i == i[first]) & (t == t[first]) & (start < end[first])
+    start = np.where(overlaps, end[first], start)
+    h1 = np.where(new, h1, mixed((t ^ start ^ (end << 32)).astype(np.uint64)).astype(np.int64))  # those that are settled spread over all tasks
+    return pd.DataFrame({"__id": i, "__text": t, "start": start, "end": end, "h1": h1, "h2": h2, "again": ~new})
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -145,18 +161,15 @@ def cleaned(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame
 
 def spans_of(rows: DataFrame, min_words: int) -> DataFrame:
     """A row's key, `starts` and `ends` of the runs that stood elsewhere before; rows as of keyed()."""
-    found = materialize(units(rows, min_words), "runs")
-    place = F.struct(*KEY, "start", "end")
-    # written, so that Spark can split a hot run's occurrences in the join below
-    firsts = materialize(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "runs-first")
-    again = found.join(firsts, ["h1", "h2"]).filter(place != F.col("first"))
-    own = F.lit(True)
-    for k in KEY:
-        own &= F.col(k) == F.col(f"first.{k}")
-    overlap = own & (F.col("start") < F.col("first.end"))
-    start = F.when(overlap, F.col("first.end")).otherwise(F.col("start")).alias("start")
-    again = again.select(*KEY, F.struct(start, F.col("end")).alias("span"))
-    gathered = again.groupBy(*KEY).agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield occurrences(pdf["__id"].to_numpy(), pdf["__text"].to_numpy(), texts_of(pdf["text"]), min_words)
+
+    found = rows.select(*KEY, F.col("row.text").alias("text")).mapInPandas(of, "__id long, __text long, start long, `end` long, h1 long, h2 int, again boolean")
+    place = F.struct(*KEY, "start")
+    first = F.first(place).over(W.partitionBy("h1", "h2").orderBy(*KEY, "start").rowsBetween(W.unboundedPreceding, 0))
+    again = found.withColumn("first", first).filter(F.col("again") | (place != F.col("first")))
+    gathered = again.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     return gathered.select(*KEY, F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 

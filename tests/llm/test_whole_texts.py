@@ -49,7 +49,7 @@ def test_a_run_keeps_its_first_occurrence(spark):
     assert out == {1: "\n".join([line] * 5), 2: "", 3: "\n".join([line] * 4)}
 
 
-def test_runs_cover_every_unit_of_a_stretch():
+def test_runs_cover_the_pieces_of_a_stretch():
     for seed in range(30):
         r = random.Random(seed)
         sizes, owner = r.choices(range(1, 30), k=30), sorted(r.choices(range(3), k=30))
@@ -62,6 +62,18 @@ def test_runs_cover_every_unit_of_a_stretch():
                     assert {k for i, j in found if a <= i and j <= b for k in range(i, j + 1)} == set(range(a, b + 1))
 
 
+def test_batches_do_not_change_what_goes(spark):
+    r = random.Random(8)
+    passages = [" ".join(words(60, s)) for s in range(5)]
+    rows = [(r.choice([None, i, 7]), " ".join(r.choices([*passages, " ".join(words(9, 100 + i))], k=4))) for i in range(80)]
+    frame = spark.createDataFrame(rows + rows[:20], "doc_id long, text string")
+    one = substring.deduplicated(frame.coalesce(1)).select("row", "text", "removed_spans").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    many = substring.deduplicated(frame.repartition(5)).select("row", "text", "removed_spans").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert sorted(map(str, one)) == sorted(map(str, many)) and any(x["removed_spans"] for x in one)
+
+
 def test_removed_stretches_leave_whole_lines():
     text = "one two. three four.\nfive six\n\nseven"
     def cut(*parts):

@@ -1,9 +1,10 @@
 """Byte-level BPE on the JVM: higher-order functions fold ranked merges over the bytes of words.
 
 A rank map is a literal: two arrays that a perfect hash of a token pair indexes. The fold keeps a
-word's token ids and its adjacent pairs' ranks, and each step merges the leftmost pair of least rank. The
-corpus's most frequent distinct words are folded once and become a second literal of bounded size;
-every other word is folded where it stands, so the bound changes speed only. Decoding looks up each id's bytes and concatenates the pieces.
+word's token ids and its adjacent pairs' ranks, and each step merges the leftmost pair of least rank; long words
+are folded in blocks that are joined exactly. The corpus's most frequent distinct words are folded once and become
+a second literal of bounded size; every other word is folded where it stands, so the bound changes speed only.
+Decoding looks up each id's bytes and concatenates the pieces.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import functools
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,10 +26,11 @@ from .common import materialize, release, table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct words in the literal at most.
 KNOWN_WORDS = 1 << 18
-#: The fold is quadratic in a word's length; longer words go to the tokenizer library instead.
-LONG_WORD = 400
-_NO_RANK = 1 << 28
-_HALF = 1 << 17
+#: Longer words are folded in blocks of this many bytes, since a fold is quadratic in its bytes.
+BLOCK = 256
+#: An entry's bits: 17 for an id, 28 for a place, 18 for a rank.
+_ID_BITS, _RANK_AT = 17, 45
+_NO_ID, _NO_RANK = (1 << 17) - 1, 1 << 17
 
 
 def pattern(text_pattern: str) -> str:
@@ -53,27 +54,29 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-def perfect_hash(firsts: np.ndarray, steps: np.ndarray, groups: np.ndarray, n_groups: int, size: int) -> np.ndarray:
-    """Displacements so that (first + displacement of group * step) & (size - 1) differ for all keys."""
-    order = np.argsort(groups, kind="stable")
+def displacements(firsts: np.ndarray, groups: np.ndarray, n_groups: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A perfect hash: shifts so that first + shift of group differ for all keys, and which keys it places.
+
+    Keys of one group that share a first place can't be told apart: the earlier one stays. Places end below 2 * size.
+    """
+    kept = np.zeros(len(firsts), bool)
+    kept[np.unique(firsts * n_groups + groups, return_index=True)[1]] = True
+    at = np.flatnonzero(kept)
+    order = at[np.argsort(groups[at], kind="stable")]
     cuts = np.searchsorted(groups[order], np.arange(n_groups + 1)).tolist()
     counts = np.diff(cuts)
-    taken, shifts, mask = bytearray(size), np.zeros(n_groups, np.int64), size - 1
-    firsts, steps = firsts[order].tolist(), steps[order].tolist()
+    taken, shifts, firsts = bytearray(2 * size), np.zeros(n_groups, np.int64), firsts[order].tolist()
     for g in np.argsort(-counts, kind="stable").tolist():
-        if counts[g] == 0:
+        own = firsts[cuts[g] : cuts[g + 1]]
+        if not own:
             break
-        own = list(zip(firsts[cuts[g] : cuts[g + 1]], steps[cuts[g] : cuts[g + 1]]))
-        for d in range(4 * size):
-            slots = {(f + d * s) & mask for f, s in own}
-            if len(slots) == len(own) and not any(taken[s] for s in slots):
-                break
-        else:
-            raise ValueError("two keys of a group always share a slot")
-        for s in slots:
-            taken[s] = 1
+        d = 0
+        while any(taken[f + d] for f in own):
+            d = taken.index(0, own[0] + d + 1) - own[0]
+        for f in own:
+            taken[f + d] = 1
         shifts[g] = d
-    return shifts
+    return shifts, kept
 
 
 def literal(spark: SparkSession, value: Column) -> Column:
@@ -102,69 +105,120 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _prime(least: int) -> int:
+    return next(n for n in range(max(3, least) | 1, 2 * least + 9, 2) if all(n % d for d in range(3, int(n**0.5) + 1, 2)))
+
+
 class RankMap:
-    """The pair ranks as literal columns. A missing pair has rank _NO_RANK."""
+    """The pair ranks as literal columns, by a perfect hash, and the fold of a word's merges by them.
 
-    FACTOR = 0x2545F491
+    An entry of the fold packs the rank of a token and its right neighbour, the token's place (a byte offset)
+    and its id, so that an array's minimum is the leftmost pair of least rank. A pair without a rank has _NO_RANK.
+    """
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         pairs = pair_ranks(ranks)
-        keys = np.array([a * _HALF + b for a, b in pairs], np.int64)
-        size = 1 << max(4, int(len(keys) * 1.3).bit_length())
-        n_groups = max(1, size // 4) | 1
-        firsts = (keys * self.FACTOR >> 24) & (size - 1)
-        steps = keys % 1021 * 2 + 1
-        shifts = perfect_hash(firsts, steps, keys % n_groups, n_groups, size)
-        slots = (firsts + shifts[keys % n_groups] * steps) & (size - 1)
-        found, rank = np.full(size, -1, np.int64), np.zeros(size, np.int64)
-        found[slots], rank[slots] = keys, np.fromiter(pairs.values(), np.int64, len(pairs))
-        self.size, self.n_groups = size, n_groups
-        self.shifts, self.keys, self.ranks = _longs(spark, shifts), _longs(spark, found), _longs(spark, rank)
-        self.byte_ids = _longs(spark, (ranks[bytes([b])] for b in range(256)))
-
-    def rank(self, a: Column, b: Column) -> Column:
-        def at(key: Column) -> Column:
-            first = F.shiftright(key * F.lit(self.FACTOR).cast("long"), 24)
-            step = key % 1021 * 2 + 1
-            slot = (first + F.get(self.shifts, (key % self.n_groups).cast("int")) * step).bitwiseAND(F.lit(self.size - 1).cast("long")).cast("int")
-            return _let(slot, lambda s: F.when(F.get(self.keys, s) == key, F.get(self.ranks, s)).otherwise(F.lit(_NO_RANK).cast("long")))
+        keys = np.array([a << _ID_BITS | b for a, b in pairs], np.int64)
+        rank = np.fromiter(pairs.values(), np.int64, len(pairs))
+        # keys that agree modulo both primes differ by their product at least, and a key is below 2 ** 34
+        self.size = _prime(max(300_000, int(len(keys) * 1.3)))
+        self.n_groups = _prime(max(60_000, len(keys) // 4))
+        shifts, kept = displacements(keys % self.size, keys % self.n_groups, self.n_groups, self.size)
+        assert max(ranks.values()) < _NO_ID, "ids take 17 bits"
+        slots = keys % self.size + shifts[keys % self.n_groups]
+        found = np.full(2 * self.size, -1, np.int64)
+        found[slots] = keys << _ID_BITS | rank
+        self.shifts, self.found = _longs(spark, shifts), _longs(spark, found[: slots.max(initial=0) + self.size + 1])
+        byte_ids = [ranks[bytes([b])] for b in range(256)]
+        starts = np.full((256, 257), _NO_RANK << _RANK_AT, np.int64)
+        for a in range(256):
+            for b in range(256):
+                if (r := pairs.get((byte_ids[a], byte_ids[b]))) is not None:
+                    starts[a, b] = r << _RANK_AT
+        self.starts = _longs(spark, (starts + np.array(byte_ids)[:, None]).ravel())
+
+    def entry(self, e: Column) -> Column:
+        """The entry of place << 2 * _ID_BITS | token << _ID_BITS | right neighbour.
+
+        A slot that holds the pair gives its rank when the pair is masked out, another one a larger number.
+        """
+        key = e.bitwiseAND(_long((1 << 2 * _ID_BITS) - 1))
+        slot = key % self.size + F.get(self.shifts, key % self.n_groups)
+        rank = F.least(F.get(self.found, slot).bitwiseXOR(F.shiftleft(key, _ID_BITS)).bitwiseAND(_long(2**63 - 1)), _long(_NO_RANK))
+        return F.shiftleft(rank, _RANK_AT).bitwiseOR(F.shiftright(e, _ID_BITS))
 
-        return _let(a * F.lit(_HALF) + b, at)
+    def merged(self, codes: Column, offset: Column) -> Column:
+        """Entries of the tokens of bytes given as numbers; places count from `offset`."""
+        def start(x: Column, i: Column) -> Column:
+            after = F.coalesce(F.get(codes, i + 1), F.lit(256))
+            return F.get(self.starts, x * 257 + after) + F.shiftleft(i.cast("long") + offset, _ID_BITS)
 
-    def fold(self, word: Column) -> Column:
-        """array<bigint> of the ids of a word.
+        place_and_id = _long((1 << _RANK_AT) - 1)
 
-        An entry packs the rank of a token and its right neighbour, the token's place and its id, so that the
-        array's minimum is the leftmost pair of least rank.
+        def step(now: Column, _) -> Column:
+            def merge(least: Column) -> Column:
+                def at(p: Column) -> Column:
+                    token = F.shiftright(least, _RANK_AT)
+                    after = F.coalesce(F.get(now, p + 1).bitwiseAND(_long(_NO_ID)), _long(_NO_ID))
+                    before = F.shiftleft(F.get(now, p - 2).bitwiseAND(place_and_id), _ID_BITS).bitwiseOR(token)
+                    place = F.shiftleft(least.bitwiseAND(_long((1 << _RANK_AT) - 1 - _NO_ID)), _ID_BITS)
+                    grown = place.bitwiseOR(F.shiftleft(token, _ID_BITS)).bitwiseOR(after)
+                    left, right = F.get(now, p - 2), F.get(now, p)
+                    changed = lambda e: F.when(e == least, self.entry(grown)).when(e == left, self.entry(before)).otherwise(e)
+                    return F.transform(F.array_remove(now, right), changed)
+
+                return F.when(least < _long(_NO_RANK << _RANK_AT), _let(F.array_position(now, least).cast("int"), at)).otherwise(now)
+
+            return _let(F.array_min(now), merge)
+
+        steps = F.sequence(F.lit(2), F.greatest(F.size(codes), F.lit(2)))
+        return F.aggregate(steps, F.transform(codes, start), step)
+
+    def entries(self, word: Column) -> Column:
+        """Entries of a word of any length: blocks are folded apart and joined where that can't change their tokens.
+
+        Tokens are those of the whole word if every two neighbours are what their own bytes fold to. So the
+        bytes around a joint are folded anew, and the result holds if its ends are the tokens that stood there;
+        where they aren't, more bytes are taken, and in the end all.
         """
-        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        ids = F.transform(chars, lambda c: F.get(self.byte_ids, F.ascii(c)))
-        id_of = lambda e: e.bitwiseAND(_long(_HALF - 1))
-        place_of = lambda e: e.bitwiseAND(_long((_HALF - 1) << 17))
-        ranked = lambda rank: F.shiftleft(rank, 34)
+        place = lambda e: F.shiftright(e.bitwiseAND(_long((1 << _RANK_AT) - 1)), _ID_BITS)
+        same = lambda e: e.bitwiseAND(_long((1 << _RANK_AT) - 1))
 
-        def start(ids: Column) -> Column:
-            def entry(i: Column, n: Column) -> Column:
-                rank = F.when(n + 1 < F.size(ids), self.rank(i, F.get(ids, n + 1))).otherwise(_long(_NO_RANK))
-                return ranked(rank) + F.shiftleft(n.cast("long"), 17) + i
+        def folded(codes: Column) -> Column:
+            part = lambda a, b: F.slice(codes, a.cast("int") + 1, (b - a).cast("int"))
+            size = F.size(codes)
 
-            return F.transform(ids, entry)
+            def join(left: Column, at: Column) -> Column:
+                end = F.least(at + BLOCK, size)
 
-        def step(now: Column, _) -> Column:
-            def merge(p: Column) -> Column:
-                least, before, after = F.get(now, p - 1), F.get(now, p - 2), F.get(now, p + 1)
-                merged = F.shiftright(least, 34)
-                right = F.when(p + 1 < F.size(now), self.rank(merged, id_of(after))).otherwise(_long(_NO_RANK))
-                grown = ranked(right) + place_of(least) + merged
-                left = ranked(self.rank(id_of(before), merged)) + place_of(before) + id_of(before)
-                middle = F.when(p > 1, F.array(left, grown)).otherwise(F.array(grown))
-                return F.concat(F.slice(now, F.lit(1), F.greatest(p - 2, F.lit(0))), middle, F.slice(now, p + 2, F.size(now)))
+                def with_right(right: Column) -> Column:
+                    def window(k: int, otherwise: Column) -> Column:
+                        first, after = F.get(left, F.greatest(F.size(left) - k, F.lit(0))), F.get(right, F.lit(k))
+                        last = F.get(right, F.least(F.lit(k), F.size(right)) - 1)
+                        stop = F.coalesce(place(after), end.cast("long"))
+
+                        def check(mid: Column) -> Column:
+                            ok_left = (F.size(left) <= k) | (same(F.get(mid, F.lit(0))) == same(first))
+                            ok_right = (F.size(right) <= k) | (same(F.get(mid, F.size(mid) - 1)) == same(last))
+                            parts = F.concat(F.slice(left, F.lit(1), F.greatest(F.size(left) - k, F.lit(0))), mid, F.slice(right, F.lit(k + 1), F.size(right)))
+                            return F.when(ok_left & ok_right, parts).otherwise(otherwise)
 
-            found = F.array_position(now, F.array_min(now)).cast("int")
-            return F.when(F.array_min(now) < _long(_NO_RANK << 34), _let(found, merge)).otherwise(now)
+                        return _let(self.merged(part(place(first), stop), place(first)), check)
 
-        steps = F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2)))
-        return _let(ids, lambda i: F.aggregate(steps, start(i), step, lambda done: F.transform(done, id_of)))
+                    return window(16, window(128, self.merged(part(_long(0), end), _long(0))))
+
+                return _let(self.merged(part(at, end), at.cast("long")), with_right)
+
+            whole = self.merged(codes, _long(0))
+            blocks = F.aggregate(F.sequence(F.lit(BLOCK), size - 1, F.lit(BLOCK)), self.merged(part(F.lit(0), F.lit(BLOCK)), _long(0)), join)
+            return F.when(size <= 2 * BLOCK, whole).otherwise(blocks)
+
+        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+        return _let(F.transform(chars, F.ascii), folded)
+
+    def fold(self, word: Column) -> Column:
+        """array<bigint> of the ids of a word."""
+        return F.transform(self.entries(word), lambda e: e.bitwiseAND(_long(_NO_ID)))
 
 
 class WordMap:
@@ -173,31 +227,32 @@ class WordMap:
     def __init__(self, spark: SparkSession, words: pa.Array, ids: pa.Array):
         """ids: each word's ids as text, with commas between."""
         hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer(), seed=42) for w in words), np.uint64, len(words)).astype(np.int64)
-        size = 1 << max(4, int(len(words) * 1.5).bit_length())
-        n_groups = max(1, size // 4)
+        size = 1 << max(4, int(len(words) * 1.3).bit_length())
+        n_groups = max(1, size // 8)
         firsts, groups = hashes & (size - 1), (hashes >> 40) & (n_groups - 1)
-        steps = (hashes >> 30) & 1023 | 1
-        shifts = perfect_hash(firsts, steps, groups, n_groups, size)
-        slots = (firsts + shifts[groups] * steps) & (size - 1)
-        row_at = np.full(size, -1, np.int64)
-        row_at[slots] = np.arange(len(words))
+        shifts, kept = displacements(firsts, groups, n_groups, size)  # a word it can't place is folded where it stands
+        row_at = np.full(2 * size, -1, np.int64)
+        row_at[(firsts + shifts[groups])[kept]] = np.flatnonzero(kept)
+        row_at = row_at[: int(np.flatnonzero(row_at >= 0).max(initial=0)) + 1]
         self.size, self.n_groups = size, n_groups
         # one long text each: the driver never holds an object per word
         at = pa.array(row_at, mask=row_at < 0)
-        joined = lambda column, gap: pc.binary_join(pa.ListArray.from_arrays([0, size], pc.fill_null(column.take(at), "")), gap)[0].as_py()
+        joined = lambda column, gap: pc.binary_join(pa.ListArray.from_arrays([0, len(row_at)], pc.fill_null(column.take(at), "")), gap)[0].as_py()
         self.shifts = _longs(spark, shifts)
         # a separator that no word holds: every word is matched by the pattern within one text, and U+0000 words are left out
         self.words = literal(spark, F.split(F.lit(joined(words, "\0")), "\0", -1))
         self.ids = literal(spark, F.from_json(F.lit("[[" + joined(ids, "],[") + "]]"), "array<array<bigint>>"))
 
-    def ids_or(self, word: Column, other) -> Column:
-        def at(h: Column) -> Column:
-            group = F.shiftright(h, 40).bitwiseAND(F.lit(self.n_groups - 1).cast("long")).cast("int")
-            step = F.shiftright(h, 30).bitwiseAND(F.lit(1023).cast("long")).bitwiseOR(F.lit(1).cast("long"))
-            slot = (h.bitwiseAND(F.lit(self.size - 1).cast("long")) + F.get(self.shifts, group) * step).bitwiseAND(F.lit(self.size - 1).cast("long")).cast("int")
-            return _let(slot, lambda s: F.when(F.get(self.words, s) == word, F.get(self.ids, s)).otherwise(other(word)))
+    def ids_or(self, words: Column, other) -> Column:
+        """array<array<bigint>>: the ids of each of `words`, other(word) where the literal doesn't hold it."""
+        def slot(w: Column) -> Column:
+            h = F.xxhash64(w)  # hashing a word thrice takes less than holding its hash
+            return h.bitwiseAND(_long(self.size - 1)) + F.get(self.shifts, F.shiftright(h, 40).bitwiseAND(_long(self.n_groups - 1)))
+
+        def ids(s: Column, i: Column) -> Column:
+            return F.when(F.get(self.words, s).eqNullSafe(F.get(words, i)), F.get(self.ids, s)).otherwise(other(F.get(words, i)))
 
-        return _let(F.xxhash64(word), at)
+        return F.transform(F.transform(words, slot), ids)
 
 
 def split_words(text: Column, text_pattern: str = public_tokenizers.PATTERN) -> Column:
@@ -207,7 +262,7 @@ def split_words(text: Column, text_pattern: str = public_tokenizers.PATTERN) ->
 def frequent_words(words: DataFrame, most: int) -> DataFrame:
     """Of rows with an array `words`: the distinct words above the least count that leaves `most` at most."""
     counted = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counted = materialize(counted.filter((F.octet_length("word") <= LONG_WORD) & ~F.contains("word", F.lit("\0")) & (F.col("n") > 1)), "bpe-words")
+    counted = materialize(counted.filter((F.octet_length("word") <= BLOCK) & ~F.contains("word", F.lit("\0")) & (F.col("n") > 1)), "bpe-words")
     # as many rows as there are different counts below `most`, and one
     by_count = counted.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
     held, least = 0, most + 1
@@ -218,23 +273,6 @@ def frequent_words(words: DataFrame, most: int) -> DataFrame:
     return counted.filter(F.col("n") >= least).select("word")
 
 
-def long_word_encoder(path: str, text_pattern: str):
-    """A pandas UDF array<string> -> array<array<bigint>> by the tokenizer library, for words beyond LONG_WORD."""
-    @F.pandas_udf("array<array<bigint>>")
-    def encode(words: pd.Series) -> pd.Series:
-        import tiktoken
-
-        enc = None
-        out = []
-        for row in words:
-            if len(row) and enc is None:
-                enc = tiktoken.Encoding("own", pat_str=text_pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-            out.append([enc._encode_single_piece(w.encode()) for w in row])
-        return pd.Series(out)
-
-    return encode
-
-
 def encoded(docs: DataFrame, path: str, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id and ids array<bigint> of every whole text, without special tokens.
 
@@ -252,22 +290,14 @@ def encoded(docs: DataFrame, path: str, known_words: int = KNOWN_WORDS) -> DataF
     del rows
     pa.default_memory_pool().release_unused()
     release(spark)
-    is_long = lambda w: F.octet_length(w) > LONG_WORD
-    split = split.withColumn("long_words", F.filter("words", is_long))
-    split = split.withColumn("long_ids", long_word_encoder(path, public_tokenizers.PATTERN)("long_words"))
-
-    def ids(word: Column) -> Column:
-        found = F.get(F.col("long_ids"), F.array_position(F.col("long_words"), word).cast("int") - 1)
-        return words.ids_or(word, lambda w: F.when(is_long(w), found).otherwise(ranks.fold(w)))
-
-    return split.select("doc_id", F.flatten(F.transform("words", ids)).alias("ids"))
+    return split.select("doc_id", F.flatten(words.ids_or(F.col("words"), ranks.fold)).alias("ids"))
 
 
 def id_bytes(spark: SparkSession, ids: Column, vocabulary: int) -> Column:
     """The ids as little-endian unsigned 32-bit integers."""
     texts = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(vocabulary))), ",")
     texts = literal(spark, texts)
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(texts, i.cast("int"))), ""))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(texts, i)), ""))
 
 
 def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -276,7 +306,7 @@ def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column
     for token, i in ranks.items():
         pieces[i] = token.hex()
     texts = literal(spark, F.split(F.lit(",".join(pieces)), ","))
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(texts, i.cast("int"))), ""))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(texts, i)), ""))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

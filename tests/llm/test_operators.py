@@ -114,6 +114,26 @@ def test_bpe_equals_library_and_round_trips(spark):
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
 
 
+def test_bpe_folds_words_of_any_length(spark):
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["a" * n for n in (1, 2, bpe.BLOCK - 1, 2 * bpe.BLOCK, 2 * bpe.BLOCK + 1, 3 * bpe.BLOCK, 20_000)]
+    words += ["".join(r.choices(letters, k=n)) for n in (700, 3000)] + ["é漢" * 400, "ab" * 700, "=-" * 900, " " * 2000]
+    words += ["".join(r.choices(["the", "tion", "ing", "and", "er", "s"], k=500)) for _ in range(10)]
+    ranks = bpe.RankMap(spark, bpe.load_ranks(public_tokenizers.path(bpe.RANKS)))
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    found = {x["word"]: x["ids"] for x in frame.select("word", ranks.fold(F.col("word")).alias("ids")).collect()}
+    assert all(found[w] == ids for w, ids in zip(words, library(words)))
+
+
+def test_perfect_hash_places_keys_apart():
+    rng = np.random.default_rng(4)
+    firsts, groups = rng.integers(0, 512, 300), rng.integers(0, 60, 300)
+    shifts, kept = bpe.displacements(firsts, groups, 60, 512)
+    places = (firsts + shifts[groups])[kept]
+    assert len(set(places.tolist())) == kept.sum() == len(set(zip(firsts.tolist(), groups.tolist()))) and places.max() < 1024
+
+
 def test_bpe_empty_table(spark, none):
     assert bpe.digests(none, public_tokenizers.path(bpe.RANKS)).count() == 0
 

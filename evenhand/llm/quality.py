@@ -8,8 +8,8 @@ of rules at most), so what the driver sees has a bound that doesn't depend on th
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,12 +21,14 @@ from .common import materialize, small_batches, table, texts_of
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 THRESHOLD = 0.5
+#: Words of a stretch in which sameness is measured.
+STRETCH = 100
 #: rule -> (measure, junk from, good up to); between the two the rule abstains.
 RULES = {
     "repeats": ("repeat_share", 0.30, 0.05),
     "symbols": ("symbol_share", 0.10, 0.02),
     "shouting": ("upper_share", 0.40, 0.15),
-    "variety": ("sameness", 0.75, 0.55),
+    "variety": ("sameness", 0.65, 0.45),
     "dup_lines": ("dup_line_share", 0.30, 0.01),
     "exclaims": ("exclaim_share", 0.15, 0.02),
     "word_length": ("odd_length", 0.50, 0.15),
@@ -61,20 +63,30 @@ def repeated_words(codes: np.ndarray, width: int = 8) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-_CASE = np.array([c.isupper() + 2 * c.islower() for c in map(chr, range(0x10000))], np.uint8)
+@functools.cache
+def _case() -> np.ndarray:
+    """1 for every upper-case code point, 2 for every lower-case one."""
+    return np.array([c.isupper() + 2 * c.islower() for c in map(chr, range(0x110000))], np.uint8)
 
 
 def cased(text: str) -> tuple[int, int]:
-    """Upper-case and lower-case letters of the basic plane."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    found = np.bincount(_CASE[codes[codes < 0x10000]], minlength=3)
+    """Upper-case and lower-case letters."""
+    found = np.bincount(_case()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=3)
     return int(found[1]), int(found[2])
 
 
+def sameness(codes: np.ndarray, stretch: int = STRETCH) -> float:
+    """Share of words that stood before in their stretch of the text, so that a text's length doesn't raise it."""
+    if not len(codes):
+        return 0.0
+    at = np.arange(len(codes)) // stretch * (int(codes.max()) + 1)
+    return 1 - len(np.unique(at + codes)) / len(codes)
+
+
 def measures(text: str) -> dict:
     words = split_words(text)
     n = len(words)
-    codes, distinct = pd.factorize(np.array(words, dtype=object)) if n else (np.zeros(0, np.int64), [])
+    codes = pd.factorize(np.array(words, dtype=object))[0] if n else np.zeros(0, np.int64)
     seen, dup_lines, lines = set(), 0, 0
     for line in text.split("\n"):
         if not line or not _SPLIT.sub("", line):
@@ -90,7 +102,7 @@ def measures(text: str) -> dict:
     return {
         "n_words": n, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": dup_lines, "n_repeat_words": n_repeat,
         "repeat_share": n_repeat / n if n else 0.0, "symbol_share": n_symbols / n if n else 0.0,
-        "upper_share": upper / (upper + lower) if upper + lower else 0.0, "sameness": 1 - len(distinct) / n if n else 0.0,
+        "upper_share": upper / (upper + lower) if upper + lower else 0.0, "sameness": sameness(codes),
         "dup_line_share": dup_lines / lines if lines else 0.0, "exclaim_share": (text.count("!") + text.count("?")) / n if n else 0.0,
         "odd_length": sum(1 for w in words if len(w) > 18) / n if n else 1.0,
         "no_letter_share": sum(1 for w in words if not _UPPER.search(w)) / n if n else 1.0,
@@ -98,30 +110,17 @@ def measures(text: str) -> dict:
 
 
 def votes(m: dict) -> str:
-    """One character per rule: '-' junk, '+' good, '0' abstains. Variety abstains where long texts must repeat words."""
-    out = []
-    for rule, (measure, junk, good) in RULES.items():
-        x = m[measure]
-        if rule == "variety" and m["n_words"] > 400:
-            out.append("0")
-        else:
-            out.append("-" if x >= junk else "+" if x <= good else "0")
-    return "".join(out)
-
-
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id with counts and votes of every document; null text is empty."""
-    def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for text in texts_of(pdf["text"]):
-                m = measures(text)
-                rows.append((m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["n_repeat_words"], votes(m)))
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes"])
-            yield out.assign(doc_id=pdf["doc_id"].astype("Int64"))
-
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(of, schema)
+    """One character per rule: '-' junk, '+' good, '0' abstains."""
+    return "".join("-" if m[measure] >= junk else "+" if m[measure] <= good else "0" for measure, junk, good in RULES.values())
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def counted(text: pd.Series) -> pd.DataFrame:
+    """Counts and votes of every text; null text is empty."""
+    found = [measures(t) for t in texts_of(text)]
+    return pd.DataFrame({c: np.array([m[c] for m in found], np.int64) for c in COUNTS} | {"votes": pd.Series([votes(m) for m in found], dtype=object)})
 
 
 def posteriors(patterns: list[tuple[str, int]], rounds: int = 200) -> dict[str, float]:
@@ -155,30 +154,29 @@ def posteriors(patterns: list[tuple[str, int]], rounds: int = 200) -> dict[str,
 
 
 def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: counts, base_failed, quality (posterior of good) and kept.
+    """Per row of docs: `row`, a struct of its columns, counts, base_failed, quality (posterior of good) and kept.
 
     base_failed: under MIN_WORDS words, or over REPEAT_PERCENT % of words in repeated windows.
-    Null texts are empty and fail; null ids and repeated rows are judged as any other; an empty
-    table gives no rows. Extra columns are ignored.
+    Every row is judged by its own text, whatever its id. Null texts are empty and fail; null ids and repeated rows are
+    judged as any other; an empty table gives no rows. Extra columns may have any names.
     """
     spark = docs.sparkSession
-    counted = materialize(measured(docs), "quality")
-    counted = counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT))
-    patterns = counted.groupBy("votes").count().collect()  # at most 3 ** len(RULES) rows
+    measure = F.pandas_udf(counted, ", ".join(f"{c} long" for c in COUNTS) + ", votes string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = materialize(rows.select("row", measure("row.text").alias("m")).select("row", "m.*"), "quality")
+    rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT))
+    patterns = rows.groupBy("votes").count().collect()  # at most 3 ** len(RULES) rows
     learned = posteriors(sorted((r[0], r[1]) for r in patterns))
     known = F.broadcast(spark.createDataFrame(list(learned.items()) or [("", 0.0)], "votes string, quality double"))
-    return counted.join(known, "votes").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    return rows.join(known, "votes").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return judged(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality")
-    )
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), *COUNTS, "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents that the rules reject go; the columns stay."""
+    """Stage: documents that the rules reject go; the columns stay. Nulls, ties and empty tables as in judged()."""
     small_batches(spark)
-    verdicts = judged(docs).filter("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id")).distinct()
-    return docs.join(verdicts, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == verdicts["__id"], "left_semi")
+    return judged(docs).filter("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -53,8 +53,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return listed.select("source", "source_size", target.alias("target"))
 
 
-def draw(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, weight: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of docs.
+def draw(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17, weight: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+    """row, size, source_size, target, copies for every row of docs; row is a struct of the columns `carry` (all, by default).
 
     Null text counts 0 words; null sources are one source, last in order; null ids draw the key of
     the text 'null'. Rows of equal key (repeated rows) are interchangeable and each counts. An empty table gives an
@@ -64,8 +64,9 @@ def draw(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: i
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(2**53))
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
     base = docs.select(
-        "doc_id", "source", word_count(text).alias("size"), (-F.log(u) / (weight if weight is not None else quality_weight(text))).alias("key")
+        row.alias("row"), "doc_id", "source", word_count(text).alias("size"), (-F.log(u) / (weight if weight is not None else quality_weight(text))).alias("key")
     )
     base = base.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     base = materialize(base, "mix")
@@ -85,16 +86,18 @@ def draw(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: i
     upto = F.col("ahead") + F.sum("size").over(within)
     joined = joined.withColumn("upto", upto)
     extra = (F.col("upto") - F.col("size") / 2 <= F.col("rest")) & (F.col("epochs") < max_epochs) & (F.col("size") > 0)
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + extra.cast("int")).alias("copies"))
+    return joined.select("row", "size", "source_size", "target", (F.col("epochs") + extra.cast("int")).alias("copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = draw(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    mixed = draw(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: every document as often as the mix takes it, with the columns it came with."""
-    picked = draw(docs).filter("copies > 0").select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("__id"), "copies").groupBy("__id").agg(F.max("copies").alias("__copies"))
-    joined = docs.join(picked, F.coalesce(docs["doc_id"], F.lit(-(2**63))) == picked["__id"])
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[joined[c] for c in docs.columns])
+    """Stage: every document as often as the mix takes it, with the columns it came with.
+
+    Rows are drawn one by one, also those that share an id. Nulls, ties and empty tables as in draw().
+    """
+    picked = draw(docs).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return picked.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -20,8 +20,8 @@ from .common import materialize, table
 K = 5
 QUERY_BLOCK = 512
 VECTOR_BLOCK = 4096
-#: Components beyond this would take bounds out of exact arithmetic.
-MOST = 2**15
+#: Sums that may pass this are taken in integers of any size.
+SAFE = 2.0**62
 
 
 def nra_block(queries: np.ndarray, owns: np.ndarray, ids: np.ndarray, vecs: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -29,13 +29,13 @@ def nra_block(queries: np.ndarray, owns: np.ndarray, ids: np.ndarray, vecs: np.n
 
     All queries read their lists in the same steps. What a depth has shown is a mask of the
     components, one for each direction of reading, so the bounds of all queries and rows are
-    products of matrices. A query takes part until few enough candidates are left.
+    products of matrices. A query reads on until no row beyond k can qualify.
     """
     n, dims = vecs.shape
     place = np.argsort(np.argsort(vecs, axis=0, kind="stable"), axis=0, kind="stable")
     ranked, values = np.sort(vecs, axis=0), vecs.astype(float)
     alive = [np.flatnonzero(ids != own) for own in owns]
-    active = np.array([i for i, rows in enumerate(alive) if len(rows) > max(4 * k, n // 16)], np.int64)
+    active = np.array([i for i, rows in enumerate(alive) if len(rows) > k], np.int64)
     depth, step = 0, max(64, n // 8)
     while depth < n and len(active):
         depth, step = min(n, depth + step), step * 2
@@ -57,11 +57,15 @@ def nra_block(queries: np.ndarray, owns: np.ndarray, ids: np.ndarray, vecs: np.n
         stays = (high >= (least - room)[:, None]) & ~own
         for i, rows in zip(active, stays):
             alive[i] = np.flatnonzero(rows)
-        active = active[stays.sum(axis=1) > max(4 * k, n // 16)]
+        active = active[stays.sum(axis=1) > k]
     out = []
     for i, rows in enumerate(alive):
-        score = vecs[rows] @ queries[i]
-        out += [(i, int(rows[j]), int(score[j])) for j in np.lexsort((ids[rows], -score))[:k]]
+        own, asked = vecs[rows], queries[i]
+        if (np.abs(own.astype(float)).max(initial=0) + 1) * (np.abs(asked.astype(float)).max(initial=0) + 1) * dims >= SAFE:
+            own, asked = own.astype(object), asked.astype(object)
+        score = own @ asked
+        best = sorted(range(len(rows)), key=lambda j: (-score[j], ids[rows[j]]))[:k] if score.dtype == object else np.lexsort((ids[rows], -score))[:k]
+        out += [(i, int(rows[j]), min(max(int(score[j]), -(2**63)), 2**63 - 1)) for j in best]
     return out
 
 
@@ -81,24 +85,23 @@ def _pair_blocks(key, left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.Dat
 def topk(vectors: DataFrame, is_query, k: int = K, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for every row where is_query holds.
 
-    vectors: vec_id and `embedding`. Components become floor(256 * x). Vectors that are null, empty
-    or hold null or non-finite components or any of magnitude MOST or more, and rows without id,
-    take no part. Vectors meet those of their own length only.
-    A repeated id counts once, with its smallest vector. Ties go to the smaller id. Queries and vectors meet in blocks of bounded
-    size; blocks are dealt by hash, so equal vectors don't gather.
+    vectors: vec_id and `embedding`. Components become floor(256 * x), within the range of a long. Vectors that are null, empty
+    or hold null or non-finite components, and rows without id, take no part. Vectors meet those of their own length only.
+    Rows that repeat an id are candidates of their own, but not for queries of that id, whose answers
+    are pooled. Ties go to the smaller id. A score beyond a long is its nearest long. An empty table gives no rows. Extra columns are ignored. Queries and vectors meet in
+    blocks of bounded size; blocks are dealt by row, so equal ids or vectors don't gather.
     """
     x = F.col("embedding")
     # an ANSI cast of a non-finite double would raise, so such vectors go first
-    ok = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float(MOST))))
+    ok = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
     whole = F.transform(x, lambda e: F.floor(F.when(e.isNotNull() & ~F.isnan(e), e.cast("double")).otherwise(0.0) * 256))
     good = vectors.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
-    good = good.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
-    good = materialize(good, "topk-vectors")
+    good = materialize(good.withColumn("dims", F.size("v")).withColumn("at", F.monotonically_increasing_id()), "topk-vectors")  # written, so that places stay
     asked = good.filter(is_query)
     # sizes of the two sides: counts only
     n, nq = good.count(), asked.count()
     bv, bq = max(1, -(-n // vector_block)), max(1, -(-nq // query_block))
-    slot = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    slot = lambda m: F.pmod(F.xxhash64("at"), F.lit(m)).cast("int")
     left = asked.withColumn("qb", slot(bq)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(bv - 1))))
     right = good.withColumn("vb", slot(bv)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
     keys = ["dims", "qb", "vb"]

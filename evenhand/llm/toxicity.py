@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A tagging transducer rewrites a clause's words as symbols: insult (I), threat (T), target (U),
-negation (N), reported speech (R) or nothing. A pattern transducer then reads the symbols and matches: a negation
+negation (N), reported speech (R) or nothing. Three pattern transducers rewrite those: a negation
 reaches over a few words, a target reaches the insults and threats around it, reported speech holds for its
-clause. The composition gives each clause the counts of what it matched, and matched clauses are scored,
-not isolated words. Insults are a seed list and what labelled rows teach: words and word beginnings that
+clause. They are composed into one machine that reads a clause forward and one that reads what it wrote backward; the
+weights of the symbols that come out are a clause's matches, and clauses are scored, not isolated words. Insults are a seed list and what labelled rows teach: words and word beginnings that
 labelled toxic texts hold far more often than others.
 """
 
@@ -38,17 +38,53 @@ _CLAUSE = re.compile(r"[.!?;:,\n()«»“”\"]+")
 FEATURES = ("insults", "targeted", "threats", "negated", "reported", "share")
 
 
-def transitions() -> dict[tuple[str, int], int]:
-    """The negation transducer: state k means a negation reaches over k more words."""
+class Transducer:
+    """A finite-state machine: step[state, symbol] is the next state and the symbol written. The first state is 0."""
+
+    def __init__(self, step: dict[tuple, tuple]):
+        self.step = step
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: `other` reads what this one writes."""
+        names, step, todo = {(0, 0): 0}, {}, [(0, 0)]
+        for a, b in todo:
+            for symbol in SYMBOLS:
+                x, written = self.step[a, symbol]
+                y, out = other.step[b, written]
+                if (x, y) not in names:
+                    names[x, y] = len(names)
+                    todo.append((x, y))
+                step[names[a, b], symbol] = names[x, y], out
+        return Transducer(step)
+
+    def read(self, symbols: list[str]) -> list[str]:
+        state, out, step = 0, [], self.step
+        for symbol in symbols:
+            state, written = step[state, symbol]
+            out.append(written)
+        return out
+
+
+#: J and K are an insult and a threat at a target, n a negated match, r a reported one, t a reported threat without a target yet.
+SYMBOLS = "-ITUNRJKnrt"
+
+
+def reaching(sign: str, rewrites: dict[str, str], reach: int | None) -> Transducer:
+    """After `sign`, symbols are rewritten over `reach` words, or to the end."""
     step = {}
-    for k in range(REACH + 1):
-        for symbol in "ITUR-":
-            step[symbol, k] = max(0, k - 1)
-        step["N", k] = REACH
-    return step
+    for left in range((reach or 1) + 1):
+        for symbol in SYMBOLS:
+            after = (reach or 1) if symbol == sign else left if reach is None else max(0, left - 1)
+            step[left, symbol] = after, rewrites.get(symbol, symbol) if left else symbol
+    return Transducer(step)
 
 
-_STEP = transitions()
+NEGATION = reaching("N", {"I": "n", "T": "n"}, REACH)
+TARGET = reaching("U", {"I": "J", "T": "K"}, REACH)
+REPORT = reaching("R", {"I": "r", "J": "r", "K": "r", "T": "t"}, None)
+FORWARD, BACKWARD = NEGATION.then(TARGET).then(REPORT), TARGET.then(REPORT)
+#: symbol -> which of (insults, targeted, threats, negated, reported) its weight adds to.
+COUNTED = {"I": (0,), "J": (0, 1), "K": (2,), "n": (3,), "r": (4,)}
 
 
 def tagger(lexicon: dict[str, float]):
@@ -76,23 +112,14 @@ def tagger(lexicon: dict[str, float]):
     return tag
 
 
-def clause_matches(tagged: list[tuple[str, float]]) -> tuple[float, float, float, float, float]:
-    """(insults, targeted, threats, negated, reported) weights of one clause."""
-    state, insults, targeted, threats, negated = 0, 0.0, 0.0, 0.0, 0.0
-    symbols = [s for s, _ in tagged]
-    for i, (symbol, weight) in enumerate(tagged):
-        if symbol in "IT" and symbol != "-":
-            near = "U" in symbols[max(0, i - REACH) : i + REACH + 1]
-            if state > 0:
-                negated += weight
-            elif symbol == "I":
-                insults += weight
-                targeted += weight * near
-            elif near:  # a threat needs a target
-                threats += weight
-        state = _STEP[symbol, state]
-    reported = (insults + threats) if "R" in symbols else 0.0
-    return insults - (insults if reported else 0.0), targeted, threats, negated, reported
+def clause_matches(tagged: list[tuple[str, float]]) -> list[float]:
+    """(insults, targeted, threats, negated, reported) weights of one clause. A threat needs a target."""
+    out = [0.0] * 5
+    written = BACKWARD.read(FORWARD.read([s for s, _ in tagged])[::-1])[::-1]
+    for symbol, (_, weight) in zip(written, tagged):
+        for k in COUNTED.get(symbol, ()):
+            out[k] += weight
+    return out
 
 
 def features(text: str, tag) -> list[float]:
@@ -156,7 +183,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     """text, toxic of at most `most` labelled rows outside the held-out fifth, in order of a hash of the id; copies of a label count once."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder5(F.col("doc_id")) != 0))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # an id that repeats with other texts is learned from once
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mixed, sliced, small_batches, table, texts_of, word_hashes
+from .common import KEY, id_of, keyed, materialize, mixed, sliced, small_batches, table, texts_of, word_hashes
 from .components import components
 
 NGRAM = 5
@@ -28,7 +28,6 @@ SIMILARITY = 0.8
 RECALL = 0.999
 #: Members of a group meet in blocks of this size, larger ones in large groups: copies of a text stay under SPREAD until blocks are full.
 BLOCK, FULL_BLOCK, SPREAD = 64, 1024, 48
-_NONE = -(2**63)
 
 
 def bands_for(similarity: float, recall: float, most_hashes: int = 192) -> tuple[int, int]:
@@ -85,7 +84,7 @@ def signature(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """id, digest of the n-gram set (null for no words), number of n-grams, band hashes."""
+    """A row's key, digest of the n-gram set (null for no words), number of n-grams, band hashes."""
     def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
@@ -94,9 +93,9 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     out.append((hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), len(grams), signature(grams, bands, rows)))
                 else:
                     out.append((None, 0, None))
-            yield pd.DataFrame(out, columns=["digest", "n_grams", "bands"]).assign(id=pdf["id"].to_numpy())
+            yield pd.DataFrame(out, columns=["digest", "n_grams", "bands"]).assign(**{k: pdf[k].to_numpy() for k in KEY})
 
-    return docs.mapInPandas(of, "digest binary, n_grams long, bands array<long>, id long")
+    return docs.select(*KEY, F.col("row.text").alias("text")).mapInPandas(of, "digest binary, n_grams long, bands array<long>, __id long, __text long")
 
 
 def _verify(rows: list[tuple], left: int, right: int, similarity: float) -> tuple[dict, list]:
@@ -145,20 +144,13 @@ def _verify(rows: list[tuple], left: int, right: int, similarity: float) -> tupl
     return dict(zip(ids, links.tolist())), spans
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """id, class_id, n_links, n_grams per row of docs (doc_id, text).
-
-    class_id is the least doc_id of the row's group: rows joined by chains of links, a link being a
-    word n-gram Jaccard similarity of `similarity` or more (equal sets: 1). n_links counts the other
-    rows the row links to, copies included. Texts without words link to nothing; null text is empty.
-    Null ids act as the least possible id and come back null. Repeated rows are copies of each
-    other. An empty table gives no rows. Extra columns are ignored.
-    """
-    bands, rows = bands_for(similarity, recall)
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), "text")
-    marked = materialize(signed(source, bands, rows), "neardup-signed")
+def grouped(rows: DataFrame, similarity: float, recall: float, block: int) -> DataFrame:
+    """A row's key, `class`, the least key of its group, n_links and n_grams; rows as of keyed()."""
+    bands, per_band = bands_for(similarity, recall)
+    marked = materialize(signed(rows, bands, per_band), "neardup-signed")
+    # a member stands for all rows of equal n-grams, by the least key among them
     members = materialize(
-        marked.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "neardup-members"
+        marked.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(*KEY)).alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "neardup-members"
     )
     exploded = members.select("id", F.posexplode("bands").alias("band", "hash"))
     # written tables on both sides let Spark split hot buckets and groups
@@ -169,31 +161,34 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     sizes = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / each).cast("int")), "neardup-sizes")
     placed = groups.join(sizes, "root").select(F.col("node").alias("id"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     placed = placed.join(members.select("id", "copies"), "id")
-    fetched = source.join(placed, "id")
+    parts = lambda c, names: [F.col(f"{c}.{k}").alias(n) for k, n in zip(KEY, names)]
+    placed = placed.select(*parts("id", KEY), *parts("root", ["r0", "r1"]), "blocks", "block", "copies")
+    fetched = rows.select(*KEY, F.col("row.text").alias("text")).join(placed, KEY)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = fetched.withColumn("other", other).select("root", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "id", "block", "copies", "text")
-    keys = ["root", "left", "right"]
+    units = fetched.withColumn("other", other).select("r0", "r1", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), *KEY, "block", "copies", "text")
+    keys = ["r0", "r1", "left", "right"]
     units = units.repartition(*keys).sortWithinPartitions(*keys)
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, key = [], None
 
         def done() -> pd.DataFrame:
-            links, spans = _verify(held, key[1], key[2], similarity)
-            return pd.DataFrame([(i, links[i], r) for i, r in spans], columns=["id", "links", "to"])
+            links, spans = _verify(held, key[2], key[3], similarity)
+            return pd.DataFrame([(*i, links[i], *r) for i, r in spans], columns=["i0", "i1", "links", "t0", "t1"])
 
         for pdf in it:
             texts = texts_of(pdf["text"])
-            for n, (k0, k1, k2, i, b, c) in enumerate(zip(pdf["root"], pdf["left"], pdf["right"], pdf["id"], pdf["block"], pdf["copies"])):
-                if key != (k0, k1, k2):
+            for n, (*unit, i, t, b, c) in enumerate(zip(*(pdf[k] for k in (*keys, *KEY, "block", "copies")))):
+                if key != unit:
                     if held:
                         yield done()
-                    held, key = [], (k0, k1, k2)
-                held.append((i, b, c, texts[n]))
+                    held, key = [], unit
+                held.append(((i, t), b, c, texts[n]))
         if held:
             yield done()
 
-    verified = materialize(units.mapInPandas(verify, "id long, links long, to long"), "neardup-verified")
+    node = lambda a, b: F.struct(F.col(a).alias(KEY[0]), F.col(b).alias(KEY[1]))
+    verified = materialize(units.mapInPandas(verify, "i0 long, i1 long, links long, t0 long, t1 long").select(node("i0", "i1").alias("id"), "links", node("t0", "t1").alias("to")), "neardup-verified")
     linked = verified.groupBy("id").agg(F.sum("links").alias("links"))
     classes = materialize(components(verified.select(F.col("id").alias("a"), F.col("to").alias("b"))), "neardup-classes")
     known = (
@@ -202,9 +197,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
         .join(classes.select(F.col("node").alias("id"), "root"), "id", "left")
         .select("digest", F.coalesce("root", "id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    out = marked.select("id", "digest", "n_grams").join(known, "digest", "left")
-    back = lambda c: F.when(c != _NONE, c)
-    return out.select(back(F.col("id")).alias("doc_id"), back(F.coalesce("class", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_grams")
+    out = marked.select(*KEY, "digest", "n_grams").join(known, "digest", "left")
+    return out.select(*KEY, F.coalesce("class", F.struct(*KEY)).alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_grams")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, n_links, n_grams per row of docs (doc_id, text).
+
+    class_id is the least doc_id of the row's group: rows joined by chains of links, a link being a
+    word n-gram Jaccard similarity of `similarity` or more (equal sets: 1). n_links counts the other
+    rows the row links to, copies included. Texts without words link to nothing; null text is empty.
+    Null ids act as the least possible id and come back null. Repeated rows are copies of each
+    other; rows that repeat an id with another text are texts of their own. An empty table gives no rows. Extra columns are ignored.
+    """
+    found = grouped(keyed(docs), similarity, recall, block)
+    return found.select(id_of(F.col(KEY[0])).alias("doc_id"), id_of(F.col(f"class.{KEY[0]}")).alias("class_id"), "n_links", "n_grams")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,8 +220,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: the least document of each group stays. Copies of one row with one id count as one document."""
+    """Stage: the least document of each group stays, by (doc_id, hash of the text). Rows that repeat an id and text are one
+    document and stay together; rows of one id with other texts are told apart. Texts without words stay. Null ids rank
+    first, null text is empty, an empty table gives no rows, and extra columns may have any names."""
     small_batches(spark)
-    none = F.lit(_NONE)
-    gone = near_duplicates(docs).filter(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.coalesce("doc_id", none).alias("__id")).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), none) == gone["__id"], "left_anti")
+    rows = keyed(docs)
+    gone = grouped(rows, SIMILARITY, RECALL, BLOCK).filter(F.struct(*KEY) != F.col("class")).select(*KEY).distinct()
+    return rows.join(gone, KEY, "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])

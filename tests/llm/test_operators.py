@@ -13,7 +13,7 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, chat, common, lm, mixing, neardup, quality, substring, tokencount, topk, toxicity
+from evenhand.llm import bpe, chat, common, components, lm, mixing, neardup, quality, substring, tokencount, topk, toxicity
 from evenhand.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -159,7 +159,7 @@ def brute_targets(sizes: dict, weights=(5, 2, 1)):
 def test_mixing_targets_and_amounts(spark):
     r = random.Random(3)
     rows = [(i, sentences(r.randint(1, 40), i), r.choice(["a", "b", "b", "b", "b", "c", "d", None])) for i in range(600)]
-    out = mixing.draw(docs(spark, rows)).collect()
+    out = mixing.draw(docs(spark, rows)).select("row.doc_id", "row.source", "size", "target", "copies").collect()
     assert len(out) == 600
     sizes = {}
     for _, t, s in rows:
@@ -172,18 +172,26 @@ def test_mixing_targets_and_amounts(spark):
         taken[x["source"]] = taken.get(x["source"], 0) + x["copies"] * x["size"]
     for s in want:
         assert abs(taken[s] - want[s]) <= 40
-    again = mixing.draw(docs(spark, rows).repartition(3)).collect()
+    again = mixing.draw(docs(spark, rows).repartition(3)).select("row.doc_id", "copies").collect()
     assert sorted((x["doc_id"], x["copies"]) for x in again) == sorted((x["doc_id"], x["copies"]) for x in out)
 
 
 def test_mixing_edges(spark, edge, none):
     assert mixing.draw(edge).count() == 8 and mixing.draw(none).count() == 0
-    assert mixing.mix(spark, edge, "").columns == edge.columns
+    odd = edge.withColumn("__id", F.lit(1)).withColumn("__copies", F.lit(2)).withColumn("__n", F.lit(3)).withColumn("row", F.lit(4)).withColumn("copies", F.lit(5))
+    assert mixing.mix(spark, odd, "").columns == odd.columns and mixing.mix(spark, none, "").count() == 0
+
+
+def test_mixing_draws_rows_of_one_id_apart(spark):
+    rows = [(7, sentences(10 + i, i), "a") for i in range(300)] + [(8, sentences(2000, 9), "b")]
+    drawn = mixing.draw(docs(spark, rows)).select("row.text", "copies").collect()
+    mixed = mixing.mix(spark, docs(spark, rows), "").groupBy("text").count().collect()
+    assert {x["text"]: x["copies"] for x in drawn if x["copies"]} == {x["text"]: x["count"] for x in mixed}
 
 
 def test_quality_weight_shifts_the_draw(spark):
     rows = [(i, ("word " if i % 2 else "#### ") * 10, "a" if i < 400 else "b") for i in range(600)]
-    out = mixing.draw(docs(spark, rows), weights=(1, 9)).collect()
+    out = mixing.draw(docs(spark, rows), weights=(1, 9)).select("row.doc_id", "row.source", "copies").collect()
     good = sum(x["copies"] for x in out if x["source"] == "a" and x["doc_id"] % 2)
     poor = sum(x["copies"] for x in out if x["source"] == "a" and not x["doc_id"] % 2)
     assert good > poor
@@ -196,6 +204,26 @@ def test_topk_equals_sql(spark):
     assert compare(spark, "/root/testdata/sf0.01", QUERIES["op4_exact_topk"], ORACLES["op4_exact_topk"]) == ""
 
 
+def test_topk_equals_sql_on_large_components_and_repeated_ids(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in rng.normal(size=4) * scale]) for i, scale in zip(rng.integers(0, 60, 300), rng.choice([1.0, 1e3, 1e5], 300))]
+    frame = spark.createDataFrame([(*r, "x") for r in rows + rows[:40]], "vec_id long, embedding array<double>, score string")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted(map(tuple, topk.topk(frame.drop("score"), F.col("vec_id") % 50 == 0, query_block=3, vector_block=64).collect()))
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert found == sorted(db.execute(ORACLES["op4_exact_topk"]).fetchall())
+    assert topk.topk(frame, F.col("vec_id") % 50 == 0).count() == len(found) > 5
+
+
+def test_topk_takes_sums_beyond_a_long(spark):
+    frame = spark.createDataFrame([(0, [1e15, 1e15]), (1, [1e15, 1.0]), (2, [-1e15, 0.0]), (3, [1e14, 2e15])], "vec_id long, embedding array<double>")
+    out = topk.topk(frame, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [x["vec_id"] for x in out] == [1, 3, 2] and out[0]["score"] == 2**63 - 1 and out[2]["score"] == -(2**63)
+
+
 def test_topk_brute_force_with_small_blocks(spark):
     rng = np.random.default_rng(1)
     v = np.round(rng.normal(size=(300, 8)), 1)
@@ -262,6 +290,47 @@ def test_toxicity_grammar():
     assert score("i will kill you")[2] > 0 and score("kill the process")[2] == 0
 
 
+def brute_matches(tagged):
+    """The grammar word by word: negation over the next words, targets on both sides, report anywhere in the clause."""
+    near = lambda i, sign, a, b: any(tagged[j][0] == sign for j in range(max(0, i + a), min(len(tagged), i + b + 1)) if j != i)
+    out, reach, reported = [0.0] * 5, toxicity.REACH, any(s == "R" for s, _ in tagged)
+    for i, (symbol, weight) in enumerate(tagged):
+        if symbol not in "IT":
+            continue
+        target = near(i, "U", -reach, reach)
+        if near(i, "N", -reach, -1):
+            out[3] += weight
+        elif reported:
+            out[4] += weight if symbol == "I" or near(i, "U", -reach, -1) or (target and not near(i, "R", -i, -1)) and not near(i, "R", -i, -1) else 0.0
+        elif symbol == "I":
+            out[0] += weight
+            out[1] += weight * target
+        elif target:
+            out[2] += weight
+    return out
+
+
+def test_toxicity_transducers_equal_rules_and_compose():
+    r = random.Random(11)
+    for _ in range(500):
+        tagged = [(s, 1.0 + k / 8) for k, s in enumerate(r.choices("-ITUNR", weights=[8, 3, 3, 3, 2, 1], k=r.randint(0, 14)))]
+        assert toxicity.clause_matches(tagged) == brute_matches(tagged)
+        symbols = [s for s, _ in tagged]
+        assert toxicity.FORWARD.read(symbols) == toxicity.REPORT.read(toxicity.TARGET.read(toxicity.NEGATION.read(symbols)))
+
+
+def test_toxicity_reported_speech_clears_a_clause():
+    tag = toxicity.tagger({"idiot": 1.0})
+    for text in ("he said you idiot", "he said i will kill you", "i will kill you he said"):
+        assert not any(toxicity.features(text, tag)[:3])
+
+
+def test_toxicity_sample_takes_an_id_once(spark):
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    frame = docs(spark, [(1, f"text {i}", "a") for i in range(50)] + [(2, "other", "a")])
+    assert toxicity.labelled_sample(frame, labels).count() <= 2
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (3, 1, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.scored(edge, labels).collect()
@@ -315,6 +384,34 @@ def test_near_duplicate_edges(spark, edge, none):
     assert kept.columns == edge.columns and kept.count() == 8
 
 
+def test_near_duplicates_tell_texts_of_one_id_apart(spark):
+    one, two, three = (sentences(60, s) for s in range(3))
+    rows = [(None, one), (None, two), (None, three), (5, two), (5, f"{three} more"), (6, one), (6, "alone " + sentences(60, 7)), (6, one)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("__id", F.lit(2))
+    out = sorted(map(str, ((x["doc_id"], x["text"]) for x in neardup.keep_one(spark, frame, "").collect())))
+    assert out == sorted(map(str, [(None, one), (None, two), (None, three), (6, rows[6][1])]))
+    found = sorted((str(x["doc_id"]), x["n_links"]) for x in neardup.near_duplicates(frame).collect())
+    assert found == [("5", 1), ("5", 1), ("6", 0), ("6", 2), ("6", 2), ("None", 1), ("None", 1), ("None", 2)]
+
+
+def test_components_of_chains_stars_and_hubs(spark):
+    r = random.Random(1)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + k) for k in range(1, 80)] + [(900 + r.randint(0, 50), 900 + r.randint(0, 50)) for _ in range(60)]
+    r.shuffle(edges)
+    parent = {}
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    found = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for e in edges if e[0] != e[1] for x in e}
+    assert found == {x: root(x) for x in linked}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_bands_reach_the_recall():
     bands, rows = neardup.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 192
@@ -404,6 +501,49 @@ def test_quality_measures():
     assert (m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"]) == (8, 12, 5, 1)
 
 
+def brute_posteriors(votes, rounds):
+    """EM document by document, in plain numbers."""
+    n, k = len(votes), len(votes[0])
+    good = [0.1 if "-" in v else 0.9 for v in votes]
+    for _ in range(rounds):
+        share = {"bad": [1 - g for g in good], "good": good}
+        prior, rate = {}, {}
+        for c, w in share.items():
+            prior[c] = sum(w) + 1
+            for r in range(k):
+                tally = {v: 1 + sum(x for x, d in zip(w, votes) if d[r] == v) for v in "-0+"}
+                rate[c, r] = {v: t / sum(tally.values()) for v, t in tally.items()}
+        total = sum(prior.values())
+        weight = lambda c, d: prior[c] / total * math.prod(rate[c, r][d[r]] for r in range(k))
+        good = [weight("good", d) / (weight("good", d) + weight("bad", d)) for d in votes]
+    return good
+
+
+def test_quality_posteriors_equal_brute_force():
+    r = random.Random(4)
+    votes = ["".join(r.choices("-0+", weights=[6, 2, 1] if i % 4 == 0 else [1, 2, 6], k=4)) for i in range(200)]
+    counts = sorted((v, votes.count(v)) for v in set(votes))
+    found = quality.posteriors(counts, rounds=12)
+    for v, p in zip(votes, brute_posteriors(votes, 12)):
+        assert found[v] == pytest.approx(p, rel=1e-9)
+
+
+def test_quality_measures_do_not_depend_on_length():
+    text = sentences(90, 3)
+    assert quality.measures(f"{text} " * 1)["sameness"] < 0.3
+    long = " ".join(sentences(100, s) for s in range(50))
+    assert abs(quality.measures(long)["sameness"] - quality.measures(sentences(100, 1))["sameness"]) < 0.1
+    assert quality.cased("aB\U00010400\U00010428ß") == (2, 3)
+
+
+def test_quality_keeps_rows_of_one_id_apart(spark):
+    good = " ".join(f"{a} {b}." for a, b in zip(sentences(40, 1).split(), sentences(40, 2).split()))
+    rows = [(None, good), (None, "bad"), (4, good), (4, None), (4, good)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("kept", F.lit(False)).withColumn("votes", F.lit("v"))
+    out = quality.keep_good(spark, frame, "")
+    assert out.columns == frame.columns and sorted((str(x["doc_id"]), x["text"]) for x in out.collect()) == [("4", good), ("4", good), ("None", good)]
+
+
 def test_quality_keeps_good_documents(spark):
     out = quality.query(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -437,9 +577,31 @@ def test_token_counts_and_cache(spark, edge, none, name, monkeypatch):
     assert tokencount.token_counts(none, path, cache).count() == 0
 
 
+def test_token_counts_equal_the_libraries():
+    import sentencepiece
+    import tokenizers
+
+    texts = ["", "a <|endoftext|> b", "Ünï ß 漢字 🎉 don't  x", sentences(3000, 1), "\n\t \x00"]
+    words = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert tokencount.counter(public_tokenizers.path("word_bpe_49k.json"))(texts) == [len(words.encode(t, add_special_tokens=False).ids) for t in texts]
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert tokencount.counter(public_tokenizers.path("piece_bpe_32k.model"))(texts) == [len(pieces.encode(t)) for t in texts]
+
+
 # pipeline
 
 
+def test_pipeline_takes_edges(spark, edge, none):
+    import corpus_pipeline
+
+    for frame in (edge.withColumn("row", F.lit(1)), none):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            columns = frame.columns
+            frame = common.materialize(stage(spark, frame, SF), "edge-test")
+            assert frame.columns == columns
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() == frame.count()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

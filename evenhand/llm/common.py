@@ -108,8 +108,11 @@ def remainder5(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), F.lit(5))
 
 
-def sliced(texts, limit: int = 2_000_000):
-    """(from, to) ranges of a batch holding about `limit` characters each, one text at least."""
+def sliced(texts, limit: int = 250_000):
+    """(from, to) ranges of a batch holding about `limit` characters each, one text at least.
+
+    Arrays of a slice stay small, so that a worker's memory isn't left in pieces.
+    """
     start, held = 0, 0
     for i, text in enumerate(texts):
         if held and held + len(text) > limit:

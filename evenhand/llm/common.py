@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +126,21 @@ def sliced(texts, limit: int = 250_000):
         yield start, len(texts)
 
 
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def trim() -> None:
+    """Give a Python worker's freed memory back to the system: idle workers would hold it through later stages."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def texts_of(series) -> list[str]:
     return [x if isinstance(x, str) else "" for x in series]
 

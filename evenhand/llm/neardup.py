@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, id_of, keyed, materialize, mixed, sliced, small_batches, table, texts_of, word_hashes
+from .common import KEY, id_of, keyed, materialize, mixed, sliced, small_batches, table, texts_of, trim, word_hashes
 from .components import components
 
 NGRAM = 5
@@ -94,6 +94,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 else:
                     out.append((None, 0, None))
             yield pd.DataFrame(out, columns=["digest", "n_grams", "bands"]).assign(**{k: pdf[k].to_numpy() for k in KEY})
+        trim()
 
     return docs.select(*KEY, F.col("row.text").alias("text")).mapInPandas(of, "digest binary, n_grams long, bands array<long>, __id long, __text long")
 
@@ -186,6 +187,7 @@ def grouped(rows: DataFrame, similarity: float, recall: float, block: int) -> Da
                 held.append(((i, t), b, c, texts[n]))
         if held:
             yield done()
+        trim()
 
     node = lambda a, b: F.struct(F.col(a).alias(KEY[0]), F.col(b).alias(KEY[1]))
     verified = materialize(units.mapInPandas(verify, "i0 long, i1 long, links long, t0 long, t1 long").select(node("i0", "i1").alias("id"), "links", node("t0", "t1").alias("to")), "neardup-verified")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, texts_of
+from .common import materialize, small_batches, table, texts_of, trim
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -120,6 +120,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def counted(text: pd.Series) -> pd.DataFrame:
     """Counts and votes of every text; null text is empty."""
     found = [measures(t) for t in texts_of(text)]
+    trim()
     return pd.DataFrame({c: np.array([m[c] for m in found], np.int64) for c in COUNTS} | {"votes": pd.Series([votes(m) for m in found], dtype=object)})
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import KEY, Words, keyed, mixed, sliced, small_batches, stretch_hashes, table, texts_of
+from .common import KEY, Words, keyed, mixed, sliced, small_batches, stretch_hashes, table, texts_of, trim
 
 #: Runs of fewer words are left alone: short ones recur by chance.
 MIN_WORDS = 25
@@ -164,6 +164,7 @@ def spans_of(rows: DataFrame, min_words: int) -> DataFrame:
     def of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             yield occurrences(pdf["__id"].to_numpy(), pdf["__text"].to_numpy(), texts_of(pdf["text"]), min_words)
+        trim()
 
     found = rows.select(*KEY, F.col("row.text").alias("text")).mapInPandas(of, "__id long, __text long, start long, `end` long, h1 long, h2 int, again boolean")
     place = F.struct(*KEY, "start")

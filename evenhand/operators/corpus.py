@@ -34,29 +34,116 @@ def bag_overlap(left: Column, right: Column) -> Column:
     return F.size(F.array_intersect(left, right)) / F.when(F.size(left) > 0, F.size(left))
 
 
-def title_matches(pages: DataFrame, titles: DataFrame, near: float = 0.6, slack: float = 0.25, accept: float = 0.75, margin: float = 0.15, most: int = 10) -> DataFrame:
-    """page, best, score, runner_up, accepted: the title whose bag a page holds best.
+def title_matches(pages: DataFrame, titles: DataFrame, near: float = 0.6, accept: float = 0.75, margin: float = 0.15) -> DataFrame:
+    """page, title, score, runner_up, accepted: the title whose bag a page holds best.
 
-    pages: page, bag; titles: title, bag. An inverted index counts shared words, so only pairs that
-    share a word meet. Candidates are the ten best with at least max(near, best - slack).
+    pages: page, bag; titles: title, bag. A pair of score `near` shares a word among the rarest
+    size - ceil(near * size) + 1 of its title, so an inverted index of those words alone finds all pairs, and common words
+    bring none together. The index goes down to accept - margin, so that every runner-up that matters is met; one below
+    that counts as 0.
     """
-    words = titles.select("title", F.size("bag").alias("size"), F.explode("bag").alias("word"))
-    found = pages.select("page", F.explode("bag").alias("word")).join(words, "word").groupBy("page", "title", "size").agg(F.count(F.lit(1)).alias("shared"))
-    scored = found.withColumn("score", F.col("shared") / F.col("size"))
+    low = min(near, accept - margin)
+    known = titles.select("title", F.array_distinct("bag").alias("bag")).withColumn("size", F.size("bag")).filter("size > 0")
+    frequent = pages.select(F.explode(F.array_distinct("bag")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    words = known.select("title", "size", F.explode("bag").alias("word")).join(frequent, "word")  # a word no page has finds nothing
+    held = F.count(F.lit(1)).over(W.partitionBy("title"))
+    rank = F.row_number().over(W.partitionBy("title").orderBy("df", "word"))
+    # absent words are the rarest of all and take places of the prefix
+    need = F.col("size") - F.ceil(F.lit(low) * F.col("size") - 1e-9) + 1 - (F.col("size") - F.col("held"))
+    rare = words.withColumns({"held": held, "rank": rank}).filter(F.col("rank") <= need).select("title", "word")
+    met = pages.select("page", F.explode(F.array_distinct("bag")).alias("word")).join(rare, "word").select("page", "title").distinct()
+    scored = met.join(known, "title").join(pages.select("page", F.col("bag").alias("held")), "page").select("page", "title", (F.size(F.array_intersect("bag", "held")) / F.col("size")).alias("score"))
     w = W.partitionBy("page").orderBy(F.desc("score"), "title")
-    ranked = scored.withColumns({"k": F.row_number().over(w), "best": F.first("score").over(w), "runner_up": F.lead("score").over(w)})
-    top = ranked.filter((F.col("k") <= most) & (F.col("score") >= F.greatest(F.lit(near), F.col("best") - slack)))
+    ranked = scored.filter(F.col("score") >= low - 1e-9).withColumns({"k": F.row_number().over(w), "runner_up": F.lead("score").over(w)})
     accepted = (F.col("score") >= accept) & (F.col("score") - F.coalesce("runner_up", F.lit(0.0)) >= margin)
-    return top.filter("k = 1").select("page", "title", "score", F.coalesce("runner_up", F.lit(0.0)).alias("runner_up"), accepted.alias("accepted"))
+    return ranked.filter((F.col("k") == 1) & (F.col("score") >= near)).select("page", "title", "score", F.coalesce("runner_up", F.lit(0.0)).alias("runner_up"), accepted.alias("accepted"))
 
 
 def unique_suffix(keys: DataFrame, names: DataFrame) -> DataFrame:
     """key, name where exactly one name ends with '/' + key. The last path part is an equi-join key."""
-    tails = names.select("name", F.element_at(F.split("name", "/"), -1).alias("key"))
-    hit = keys.join(tails, "key")
+    last = lambda c: F.element_at(F.split(c, "/"), -1).alias("last")
+    hit = keys.withColumn("last", last("key")).join(names.select("name", last("name")), "last").filter(F.endswith("name", F.concat(F.lit("/"), F.col("key"))))
     return hit.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")).filter("n = 1").drop("n")
 
 
+def by_doi(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """doc, item: the item whose DOI a text prints, or the one item whose DOI begins so.
+
+    texts: doc, doi; known: item, doi. Prefixes of known DOIs from the registrant on are the join key.
+    """
+    exact = texts.join(known, "doi").groupBy("doc").agg(F.count_distinct("item").alias("n"), F.min("item").alias("item")).filter("n = 1").select("doc", "item")
+    rest = texts.join(exact, "doc", "left_anti")
+    starts = known.select("item", F.explode(F.transform(F.sequence(F.lit(9), F.length("doi")), lambda n: F.substring(F.col("doi"), F.lit(1), n))).alias("doi"))
+    near = rest.join(starts, "doi").groupBy("doc").agg(F.count_distinct("item").alias("n"), F.min("item").alias("item")).filter("n = 1").select("doc", "item")
+    return exact.unionByName(near)
+
+
+def by_one_id(found: DataFrame, known: DataFrame) -> DataFrame:
+    """doc, item of documents that print exactly one known id. found: doc, id; known: item, id."""
+    return found.join(known, "id").groupBy("doc").agg(F.count_distinct("id").alias("n"), F.min("item").alias("item")).filter("n = 1").select("doc", "item")
+
+
+def corroborated(matches: DataFrame, pages: DataFrame, items: DataFrame, need: bool = False) -> DataFrame:
+    """matches plus corroborated: whether the page prints the item's volume and first page; with `need` the others go.
+
+    matches: page, title; pages: page, numbers (array); items: title, volume, first_page.
+    """
+    joined = matches.join(pages.select("page", "numbers"), "page").join(items.select("title", "volume", "first_page"), "title")
+    ok = F.coalesce(F.array_contains("numbers", F.col("volume")) & F.array_contains("numbers", F.col("first_page")), F.lit(False))
+    out = joined.withColumn("corroborated", ok).drop("numbers", "volume", "first_page")
+    return out.filter("corroborated") if need else out
+
+
+def scoped_title_match(pages: DataFrame, items: DataFrame, near: float = 0.6, least: int = 6) -> DataFrame:
+    """page, title, score: title matches within a journal, of bags of six words or more; needs corroboration.
+
+    pages: page, journal, bag; items: title, journal, bag. The journal joins the words of the index.
+    """
+    scope = lambda df, c: df.withColumn("bag", F.transform("bag", lambda w: F.concat_ws("|", F.col(c), w)))
+    long = items.filter(F.size("bag") >= least)
+    return title_matches(scope(pages, "journal").select("page", "bag"), scope(long, "journal").select("title", "bag"), near=near)
+
+
+def first_rule(rules: list[tuple[str, DataFrame]], key: str = "doc") -> DataFrame:
+    """key, item, rule: what the first rule that answers says. Rules: (name, table of key and item), the strongest first."""
+    all_ = None
+    for i, (name, df) in enumerate(rules):
+        df = df.select(key, "item", F.lit(i).alias("i"), F.lit(name).alias("rule"))
+        all_ = df if all_ is None else all_.unionByName(df)
+    return all_.groupBy(key).agg(F.min(F.struct("i", "rule", "item")).alias("x")).select(key, "x.item", "x.rule")
+
+
+def by_place(citations: DataFrame, items: DataFrame) -> DataFrame:
+    """citation, item: one item of the citation's year, volume and page whose journal begins with the same word."""
+    word = lambda c: F.regexp_extract(F.lower(c), "[a-z]+", 0)
+    same = ["year", "volume", "page"]
+    hit = citations.join(items.withColumnRenamed("journal", "of"), same).filter((word(F.col("journal")) == word(F.col("of"))) & (word(F.col("of")) != ""))
+    return hit.groupBy("citation").agg(F.count_distinct("item").alias("n"), F.min("item").alias("item")).filter("n = 1").select("citation", "item")
+
+
+def by_title(citations: DataFrame, items: DataFrame, near: float = 0.6, margin: float = 0.2) -> DataFrame:
+    """citation, item, score: the best title overlap of at least `near` that leads by `margin`."""
+    found = title_matches(citations.select(F.col("citation").alias("page"), "bag"), items.select(F.col("item").alias("title"), "bag"), near=near, accept=near, margin=margin)
+    return found.filter("accepted").select(F.col("page").alias("citation"), F.col("title").alias("item"), "score")
+
+
+def worklist(df: DataFrame, order: list) -> DataFrame:
+    """df plus place: a global rank by `order`, from range counts, so no task sees all rows."""
+    return batches(df, order, 1).withColumnRenamed("batch", "place").withColumn("place", F.col("place") + 1)
+
+
+def rewritten(keys: DataFrame, prefixes: dict[str, str], shift_from: int, column: str = "key") -> DataFrame:
+    """Keys of a prefix and a number with the prefix mapped and numbers from `shift_from` on moved by one."""
+    prefix, number = F.regexp_extract(column, "^([^0-9]*)", 1), F.regexp_extract(column, "([0-9]+)$", 1).try_cast("int")
+    mapped = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv]), prefix), prefix)
+    return keys.withColumn("rewritten", F.concat(mapped, F.when(number >= shift_from, number + 1).otherwise(number).cast("string")))
+
+
+def in_scope(lines: DataFrame, mode: str = "all") -> DataFrame:
+    """Lines of a run: `continuous` leaves out those without a mean."""
+    return lines.filter("mean is not null") if mode == "continuous" else lines
+
+
 def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """df plus batch: consecutive runs of `size` rows. Positions come from range counts, so no task sees all rows."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())

@@ -38,3 +38,27 @@ def tokenize(line: Column) -> Column:
         )
 
     return F.transform(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), cell)
+
+
+def offsets(line: Column, pattern: str) -> Column:
+    """array<struct<text,start>> of a pattern's matches; start counts characters from 0."""
+    hits, gaps = F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.split(line, pattern, -1)
+    total = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    return F.transform(hits, lambda h, i: F.struct(h.alias("text"), (total(gaps, i + 1) + total(hits, i)).alias("start")))
+
+
+def span(boxes: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """Left of the first and right of the last box that holds characters from start to before end; boxes: array<struct<s,e,x0,x1>> in order."""
+    touched = F.filter(boxes, lambda b: (b["e"] > start) & (b["s"] < end))
+    return F.get(touched, F.lit(0))["x0"], F.get(touched, F.size(touched) - 1)["x1"]
+
+
+def positioned(line: Column, boxes: Column) -> Column:
+    """tokenize() with start, x0, x1 and mid: where each cell stands in its line and on its page."""
+    def placed(cell: Column, start: Column) -> Column:
+        x0, x1 = span(boxes, start, start + F.length(cell["text"]))
+        return F.struct(*[cell[k].alias(k) for k in ("type", "text", "num1", "num2", "dec1", "dec2")], start.alias("start"), x0.alias("x0"), x1.alias("x1"), ((x0 + x1) / 2).alias("mid"))
+
+    # the offsets are found once a line
+    both = F.transform(F.array(offsets(line, TOKEN)), lambda o: F.transform(tokenize(line), lambda c, i: placed(c, F.get(o, i)["start"])))
+    return F.get(both, F.lit(0))

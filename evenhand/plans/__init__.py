@@ -1 +1,3 @@
 
+
+from . import queries, tables  # noqa: F401  both register queries

@@ -83,3 +83,12 @@ CELLS_SQL = """
 cells AS (SELECT 'N' || c_nationkey AS trial, 'status' AS "row", o_orderpriority AS arm, o_orderstatus AS category, count(*) AS n
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
 """
+
+
+def printed(cells: DataFrame, keys: list[str], char: float = 5.0) -> DataFrame:
+    """Words as boxes from cells (keys, line_no, x, text) that begin at x, every character being `char` wide."""
+    words = cells.select(*keys, "line_no", "x", F.posexplode(F.split("text", " ")).alias("i", "w"), F.split("text", " ").alias("ws"))
+    before = F.aggregate(F.slice("ws", F.lit(1), F.col("i")), F.lit(0), lambda a, w: a + F.length(w) + 1)
+    return words.filter("w <> ''").select(
+        *keys, "line_no", (F.col("x") * 1000 + F.col("i")).cast("long").alias("word_no"), F.col("w").alias("text"), (F.col("x") + before * char).alias("x"), (F.length("w") * char).alias("width")
+    )

@@ -548,16 +548,11 @@ def cor13(s, d):
     return corpus.unique_suffix(p.select(F.element_at(F.split("name", "/"), -1).alias("key")).distinct(), p)
 
 
-@query("cor14_title_match", f"""WITH t AS (SELECT item_id, {_BAG.replace('TEXT', 'text')} AS bag FROM benchmark), p AS (SELECT doc_id, {_BAG.replace('TEXT', 'text')} AS bag FROM documents WHERE lang = 'en'),
+@query("cor14_title_match", f"""WITH t AS (SELECT item_id, {_BAG.replace('TEXT', 'text')} AS bag FROM benchmark), p AS (SELECT doc_id, {_BAG.replace('TEXT', 'text')} AS bag FROM documents),
 x AS (SELECT doc_id, item_id, CAST(len(list_intersect(p.bag, t.bag)) AS DOUBLE) / len(t.bag) AS score FROM p, t WHERE len(list_intersect(p.bag, t.bag)) > 0),
 r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS runner_up FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, item_id))
 SELECT doc_id, item_id, round(score, 6) AS score, score >= 0.75 AND score - coalesce(runner_up, 0) >= 0.15 AS accepted FROM r WHERE k = 1 AND score >= 0.6""")
 def cor14(s, d):
-    return _titles(table(s, d, "documents").filter("lang = 'en'"), table(s, d, "benchmark"))
-
-
-@query("cor14_title_match_all_languages")
-def cor14_all(s, d):
     return _titles(table(s, d, "documents"), table(s, d, "benchmark"))
 
 
@@ -610,3 +605,128 @@ def met06(s, d):
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Validated bridge lines, staged Monte Carlo, row report and trial summary."""
     return report.trial_summary(_reported(s, d).select("trial", "row", "p"))
+
+
+# Identification ladder
+
+@query("cor11_by_doi", """WITH k AS (SELECT c_custkey AS item, '10.1000/c' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS doi FROM customer),
+t AS (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN '10.1000/c' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') ELSE left('10.1000/c' || lpad(CAST(o_custkey AS VARCHAR), 6, '0'), 14) END AS doi FROM orders),
+x AS (SELECT doc, min(item) AS item FROM t JOIN k USING (doi) GROUP BY doc HAVING count(DISTINCT item) = 1), p AS (SELECT left(doi, 14) AS doi, min(item) AS item, count(*) AS n FROM k GROUP BY 1)
+SELECT doc, item FROM x UNION ALL SELECT doc, p.item FROM t JOIN p USING (doi) WHERE n = 1 AND doc NOT IN (SELECT doc FROM x)""")
+def cor11(s, d):
+    doi = lambda c: F.concat(F.lit("10.1000/c"), F.lpad(F.col(c).cast("string"), 6, "0"))
+    texts = table(s, d, "orders").select(F.col("o_orderkey").alias("doc"), F.when(F.col("o_orderkey") % 2 == 0, doi("o_custkey")).otherwise(F.substring(doi("o_custkey"), 1, 14)).alias("doi"))
+    return corpus.by_doi(texts, table(s, d, "customer").select(F.col("c_custkey").alias("item"), doi("c_custkey").alias("doi")))
+
+
+@query("cor12_by_one_id", """WITH f AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS id FROM lineitem), k AS (SELECT s_suppkey AS id, s_nationkey AS item FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT doc, min(item) AS item FROM f JOIN k USING (id) GROUP BY doc HAVING count(DISTINCT id) = 1""")
+def cor12(s, d):
+    found = table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").alias("id"))
+    return corpus.by_one_id(found, table(s, d, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("item")))
+
+
+@query("cor14_corroborated", f"""WITH t AS (SELECT item_id, {_BAG.replace('TEXT', 'text')} AS bag FROM benchmark), p AS (SELECT doc_id, {_BAG.replace('TEXT', 'text')} AS bag FROM documents),
+x AS (SELECT doc_id, item_id, CAST(len(list_intersect(p.bag, t.bag)) AS DOUBLE) / len(t.bag) AS score FROM p, t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM x)
+SELECT doc_id, item_id, item_id % 3 IN (doc_id % 3, doc_id % 2) AND item_id % 2 IN (doc_id % 3, doc_id % 2) AS corroborated FROM r WHERE k = 1 AND score >= 0.6""")
+def cor14_corroborated(s, d):
+    docs, items = table(s, d, "documents"), table(s, d, "benchmark")
+    matches = _titles(docs, items).select(F.col("doc_id").alias("page"), F.col("item_id").alias("title"))
+    pages = docs.select(F.col("doc_id").alias("page"), F.array(F.col("doc_id") % 3, F.col("doc_id") % 2).alias("numbers"))
+    known = items.select(F.col("item_id").alias("title"), (F.col("item_id") % 3).alias("volume"), (F.col("item_id") % 2).alias("first_page"))
+    return corpus.corroborated(matches, pages, known).select(F.col("page").alias("doc_id"), F.col("title").alias("item_id"), "corroborated")
+
+
+@query("cor15_scoped_titles", f"""WITH t AS (SELECT item_id, ['en', 'de', 'fr', 'es'][1 + item_id % 4] AS journal, {_BAG.replace('TEXT', 'text')} AS bag FROM benchmark), p AS (SELECT doc_id, lang AS journal, {_BAG.replace('TEXT', 'text')} AS bag FROM documents),
+x AS (SELECT doc_id, item_id, CAST(len(list_intersect(p.bag, t.bag)) AS DOUBLE) / len(t.bag) AS score FROM p JOIN t USING (journal) WHERE len(t.bag) >= 6), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS k FROM x)
+SELECT doc_id, item_id, round(score, 6) AS score FROM r WHERE k = 1 AND score >= 0.6""")
+def cor15(s, d):
+    journal = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("item_id") % 4 + 1).cast("int"))
+    pages = table(s, d, "documents").select(F.col("doc_id").alias("page"), F.col("lang").alias("journal"), tx.bag_of(F.col("text")).alias("bag"))
+    items = table(s, d, "benchmark").select(F.col("item_id").alias("title"), journal.alias("journal"), tx.bag_of(F.col("text")).alias("bag"))
+    return corpus.scoped_title_match(pages, items).select(F.col("page").alias("doc_id"), F.col("title").alias("item_id"), r6("score"))
+
+
+@query("cor16_first_rule", """SELECT o_orderkey AS doc, CASE WHEN o_orderstatus = 'F' THEN o_custkey WHEN o_totalprice > 100000 THEN o_custkey + 1 ELSE o_custkey + 2 END AS item,
+CASE WHEN o_orderstatus = 'F' THEN 'doi' WHEN o_totalprice > 100000 THEN 'pmid' ELSE 'title' END AS rule FROM orders""")
+def cor16(s, d):
+    o = table(s, d, "orders").withColumn("doc", F.col("o_orderkey"))
+    item = lambda df, n: df.select("doc", (F.col("o_custkey") + n).alias("item"))
+    return corpus.first_rule([("doi", item(o.filter("o_orderstatus = 'F'"), 0)), ("pmid", item(o.filter("o_totalprice > 100000"), 1)), ("title", item(o, 2))])
+
+
+_PLACES = """i AS (SELECT s_suppkey AS item, 1992 + s_suppkey % 7 AS year, s_nationkey AS volume, s_suppkey % 10 AS page, ['Lancet oncology', 'BMJ open', 'Anaesthesia'][1 + s_suppkey % 3] AS journal FROM supplier),
+c AS (SELECT o_orderkey AS citation, year(o_orderdate) AS year, o_custkey % 25 AS volume, o_orderkey % 10 AS page, ['Lancet', 'bmj', 'Anaesthesia news'][1 + o_orderkey % 3] AS journal FROM orders)"""
+
+
+@query("cor17_by_place", f"""WITH {_PLACES} SELECT citation, min(item) AS item FROM c JOIN i USING (year, volume, page) WHERE regexp_extract(lower(c.journal), '[a-z]+') = regexp_extract(lower(i.journal), '[a-z]+') GROUP BY citation HAVING count(DISTINCT item) = 1""")
+def cor17(s, d):
+    of = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % 3 + 1).cast("int")).alias("journal")
+    items = table(s, d, "supplier").select(F.col("s_suppkey").alias("item"), (1992 + F.col("s_suppkey") % 7).alias("year"), F.col("s_nationkey").alias("volume"), (F.col("s_suppkey") % 10).alias("page"), of("s_suppkey", "Lancet oncology", "BMJ open", "Anaesthesia"))
+    cited = table(s, d, "orders").select(F.col("o_orderkey").alias("citation"), F.year("o_orderdate").cast("long").alias("year"), (F.col("o_custkey") % 25).alias("volume"), (F.col("o_orderkey") % 10).alias("page"), of("o_orderkey", "Lancet", "bmj", "Anaesthesia news"))
+    return corpus.by_place(cited, items)
+
+
+@query("cor18_by_title", f"""WITH t AS (SELECT item_id, {_BAG.replace('TEXT', 'text')} AS bag FROM benchmark), p AS (SELECT doc_id, {_BAG.replace('TEXT', 'text')} AS bag FROM documents),
+x AS (SELECT doc_id, item_id, CAST(len(list_intersect(p.bag, t.bag)) AS DOUBLE) / len(t.bag) AS score FROM p, t), r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS runner_up FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, item_id))
+SELECT doc_id AS citation, item_id AS item, round(score, 6) AS score FROM r WHERE k = 1 AND score >= 0.6 AND score - coalesce(runner_up, 0) >= 0.2""")
+def cor18(s, d):
+    bag = tx.bag_of(F.col("text")).alias("bag")
+    return corpus.by_title(table(s, d, "documents").select(F.col("doc_id").alias("citation"), bag), table(s, d, "benchmark").select(F.col("item_id").alias("item"), bag)).select("citation", "item", r6("score"))
+
+
+@query("cor20_worklist", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")
+def cor20(s, d):
+    return corpus.worklist(table(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "place")
+
+
+@query("cor23_rewritten_keys", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'BJA' WHEN 1 THEN 'AA' ELSE 'ccm' END || CAST(CASE WHEN o_orderkey >= 1235 THEN o_orderkey + 1 ELSE o_orderkey END AS VARCHAR) AS rewritten FROM orders""")
+def cor23(s, d):
+    k = F.col("o_orderkey") % 3
+    keys = table(s, d, "orders").select("o_orderkey", F.concat(F.when(k == 0, "bja").when(k == 1, "anesth analg").otherwise("ccm"), F.col("o_orderkey").cast("string")).alias("key"))
+    return corpus.rewritten(keys, {"bja": "BJA", "anesth analg": "AA"}, 1235).select("o_orderkey", "rewritten")
+
+
+@query("cor24_scope", f"""WITH {LINES_SQL} SELECT trial, count(*) AS lines FROM lines GROUP BY trial""")
+def cor24(s, d):
+    both = continuous_lines(s, d).unionByName(category_lines(s, d))
+    return corpus.in_scope(both, "continuous").groupBy("trial").agg(F.count(F.lit(1)).alias("lines"))
+
+
+# Text functions over whole texts
+
+@query("txt01_glyph_repair", "SELECT doc_id, replace(translate(text || chr(10942) || chr(61617), chr(10942) || chr(61617) || chr(188), chr(177) || chr(177) || '='), chr(175), 'fl') AS fixed FROM documents")
+def txt01(s, d):
+    return table(s, d, "documents").select("doc_id", tx.glyph_repair(F.concat("text", F.lit("\u2afe\uf0b1"))).alias("fixed"))
+
+
+@query("txt13_names_and_journals", """SELECT o_orderkey, split_part('Smith, J. ' || o_orderkey, ',', 1) AS surname, ['JAMA', 'bja', 'NEJM', 'other'][1 + o_orderkey % 4] AS code FROM orders""")
+def txt13(s, d):
+    journal = F.element_at(F.array(*map(F.lit, ("JAMA Surgery", "British Journal of Anaesthesia", "N. New England J", "The Lancet"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(s, d, "orders").select("o_orderkey", tx.surname_of(F.concat(F.lit("Smith, J. "), F.col("o_orderkey").cast("string"))).alias("surname"), tx.journal_code(journal).alias("code"))
+
+
+@query("txt15_licenses", "SELECT o_orderkey, ['cc-by', 'cc-by-nc', 'elsevier-tdm', 'cc0'][1 + o_orderkey % 4] AS license, o_orderkey % 4 <> 2 AS open FROM orders")
+def txt15(s, d):
+    x = F.element_at(F.array(*map(F.lit, (" CC-BY-4.0", "cc-by-nc-3.0", "elsevier-tdm-1.0", "CC0"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(s, d, "orders").select("o_orderkey", tx.license_of(x).alias("license"), tx.is_open_license(x).alias("open"))
+
+
+@query("txt16_html_unescape", "SELECT page_id, replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM pages")
+def txt16(s, d):
+    return table(s, d, "pages").select("page_id", tx.html_unescape(F.col("html")).alias("t"))
+
+
+@query("txt02_plus_minus_is_dash", "SELECT doc_id, doc_id % 3 = 0 AS dash FROM documents")
+def txt02(s, d):
+    tail = F.when(F.col("doc_id") % 3 == 0, " double\u00b1blind post\u00b1operative").when(F.col("doc_id") % 3 == 1, " mean\u00b1SD and median \u00b1 SE one\u00b1two").otherwise(" 4\u00b12")
+    plain = F.translate(F.col("text"), "\u00b1", " ")
+    return table(s, d, "documents").select("doc_id", tx.plus_minus_is_dash(F.concat(plain, tail)).alias("dash"))
+
+
+@query("lay01_page_score", r"""SELECT doc_id, CAST(CASE WHEN regexp_matches(t, 'baseline\s+(patient\s+|demographic\s+)?characteristics', 'i') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, 'patient\s+characteristics', 'i') THEN 3 ELSE 0 END
+ + CASE WHEN regexp_matches(t, 'demographic', 'i') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '\bbaseline\b', 'i') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, 'table\s+1\b', 'i') THEN 2 ELSE 0 END + least(4, (doc_id % 15) / 3.0)
+ + CASE WHEN regexp_matches(t, '\bn\s*=\s*\d+', 'i') THEN 1 ELSE 0 END AS DOUBLE) AS score FROM (SELECT doc_id, ['Table 1 Baseline patient characteristics (n = 4) ', 'demographic ', ''][1 + doc_id % 3] || text AS t FROM documents)""")
+def lay01(s, d):
+    start = F.element_at(F.array(*map(F.lit, ("Table 1 Baseline patient characteristics (n = 4) ", "demographic ", ""))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return table(s, d, "documents").select("doc_id", tx.page_score(F.concat(start, F.col("text")), F.col("doc_id") % 15).cast("double").alias("score"))

@@ -18,8 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame, label: str = "") -> DataFrame:
-    """df checkpointed in the shared folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
+    """df checkpointed in the shared folder that spark.checkpoint.dir names; a temporary one only where that is unset, on a local master."""
     spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="evenhand-"))
     return df.checkpoint()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.rng import normal
-from ..functions.special import signif
+from ..functions.special import signif, tail_of, tail_sql, z_of, z_sql
 from ..operators import armn, assembly, corpus, graphs, layout, metrics, moments, normalize, reconstruct, report, simulate, tokens, validate
 from ..sources import files
 from .bridge import CELLS_SQL, LINES_SQL, MEDIAN_SQL, category_lines, continuous_lines, kept, median_lines, table
@@ -164,9 +164,16 @@ def _ps(s: SparkSession, d: str) -> DataFrame:
     return g.agg(((F.count_if(F.col("l_returnflag") == "A") + 0.5) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
-@query("agg01_stouffer_z")
+@query("agg01_stouffer_z", f"""WITH {_PSQL}, g AS (SELECT trial, count(*) AS k, max(p) AS lone, sum({z_sql('p')}) / sqrt(count(*)) AS z FROM ps GROUP BY trial), t AS (SELECT *, {tail_sql('z')} AS t FROM g)
+SELECT trial, k, CASE WHEN k > 1 THEN round(floor(t * pow(10, 3 - floor(log10(t))) + 0.5) / pow(10, 3 - floor(log10(t))), 9) ELSE round(lone, 9) END AS p FROM t""")
 def agg01(s, d):
-    return report.trial_summary(_ps(s, d)).select("trial", "k", "p")
+    return report.trial_summary(_ps(s, d)).select("trial", "k", r6("p", digits=9))
+
+
+@query("mc17_normal_tails", f"""WITH {_PSQL}, z AS (SELECT trial, "row", {z_sql('p')} AS z FROM ps) SELECT trial, "row"::VARCHAR AS variable, round(z, 8) AS z, round({tail_sql('z * 2')}, 10) AS tail FROM z""")
+def mc17(s, d):
+    z = _ps(s, d).withColumn("z", z_of("p"))
+    return z.select("trial", F.col("row").alias("variable"), r6("z", digits=8), r6(tail_of(F.col("z") * 2), "tail", digits=10))
 
 
 @query("gra01_ecdf", f"WITH {_PSQL} SELECT trial, \"row\"::VARCHAR AS variable, round(p, 8) AS p, round(row_number() OVER (PARTITION BY trial ORDER BY p, \"row\"::VARCHAR) / count(*) OVER (PARTITION BY trial), 8) AS step FROM ps")
@@ -357,19 +364,11 @@ def tok01(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(tokens.tokenize(line)).alias("t")).select("l_orderkey", "l_linenumber", "t.type", "t.num1")
 
 
-@query("lay06_caption_score", "SELECT item_id, 4 + 3 + 2 + 1 AS score FROM benchmark")
-def lay06(s, d):
-    return table(s, d, "benchmark").select("item_id", tx.caption_score(F.concat(F.lit("table 1 Baseline patient characteristics of "), F.lit("n"))).alias("score"))
-
-
 _CAPTIONS = ("table 1 Baseline patient characteristics of ", "Table 2 Postoperative complication by group: ", "Characteristics: ", "Tab. I Demographic and clinical characteristics. ", "Adverse outcome, patient data ", "")
-_QUALIFIED = r"(patient|baseline|demographic|clinical|subject|participant|study|group)s?[' ]*\s*characteristic|characteristics\s+of\s+(the\s+)?(patient|subject|participant|study|group|population)"
-
-
 def _ladder() -> str:
     one = lambda c, n: f"CASE WHEN {c} THEN {n} ELSE 0 END"
     has = lambda p, i="i": "regexp_matches(t, '{}', '{}')".format(p.replace("'", "''"), i)
-    q = has(_QUALIFIED)
+    q = has(tx.QUALIFIED)
     return " + ".join([
         one(has("baseline"), 4), one(has("demographic|anthropometric"), 4), one(q, 3), one(f"{has('characteristic')} AND NOT {q}", 1), one(has(r"patient(s)?\s+(data|profile|detail)"), 2),
         one(has(r"preoperative|pre-operative|on\s+admission"), 1), one(has(r"\bpatients?\b|\bsubjects?\b|\bgroups?\b"), 1), one(has(r"^\s*(table|tab\.?)\s+(1|I)\b", "c"), 2),
@@ -377,8 +376,8 @@ def _ladder() -> str:
     ])
 
 
-@query("lay06_caption_score_texts", "WITH x AS (SELECT doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CAPTIONS)) + f" END || text AS t FROM documents) SELECT doc_id, CAST({_ladder()} AS INTEGER) AS score FROM x")
-def lay06_texts(s, d):
+@query("lay06_caption_score", "WITH x AS (SELECT doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CAPTIONS)) + f" END || text AS t FROM documents) SELECT doc_id, CAST({_ladder()} AS INTEGER) AS score FROM x")
+def lay06(s, d):
     start = F.element_at(F.array(*map(F.lit, _CAPTIONS)), (F.col("doc_id") % 6 + 1).cast("int"))
     return table(s, d, "documents").select("doc_id", tx.caption_score(F.concat(start, F.col("text"))).alias("score"))
 

@@ -22,25 +22,28 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False)
 
 
+# What an archive's entry is refused for, in order; the first two go silently.
+SYSTEM, HOSTILE, NESTED, OTHER = "system file", "unsafe path in archive", "nested archive (not expanded)", "not a supported file type"
+PATHS = (
+    (SYSTEM, r"[/\\]$|(^|/)__MACOSX(/|$)|(^|[/\\])(\.DS_Store$|\._[^/\\]*$)"),
+    (HOSTILE, r"^([/\\]|[A-Za-z]:)|(^|[/\\])\.\.([/\\]|$)"),
+    (NESTED, r"(?i)\.(zip|gz|tgz|tar|7z|rar)$"),
+    (OTHER, r"(?i)^(?!.*\.(" + "|".join(EXTENSIONS) + r")$)"),
+)
+
+
 def entry_plan(name: Column, size: Column) -> tuple[Column, Column]:
     """(take, why) of an archive's entry; first rule wins, folders and system files go silently."""
-    base = F.element_at(F.split(F.regexp_replace(name, "\\\\", "/"), "/"), -1)
-    ext = F.lower(F.regexp_extract(base, "\\.([A-Za-z0-9]+)$", 1))
-    folder = name.rlike("[/\\\\]$") | ((size == 0) & (ext == ""))
-    junk = name.rlike("(^|/)__MACOSX(/|$)") | (base == ".DS_Store") | F.startswith(base, F.lit("._"))
-    hostile = name.rlike("^([/\\\\]|[A-Za-z]:)") | name.rlike("(^|[/\\\\])[.][.]([/\\\\]|$)")
-    why = (
-        F.when(folder | junk, "").when(hostile, "unsafe path in archive").when(ext.isin("zip", "gz", "tgz", "tar", "7z", "rar"), "nested archive (not expanded)")
-        .when(~ext.isin(*EXTENSIONS), "not a supported file type").when(size > MAX_ENTRY, f"larger than {MAX_ENTRY // 1024**2} MB")
-    )
+    why = F.when((size == 0) & ~name.rlike(r"\.[A-Za-z0-9]+$"), "")
+    for reason, pattern in PATHS:
+        why = why.when(name.rlike(pattern), "" if reason == SYSTEM else reason)
+    why = why.when(size > MAX_ENTRY, f"larger than {MAX_ENTRY // 1024**2} MB")
     return why.isNull(), F.coalesce(why, F.lit(""))
 
 
 def _plan(name: str, size: int) -> bool:
-    base = re.split(r"[/\\]", name)[-1]
-    ext = base.rpartition(".")[2].lower() if "." in base else ""
-    bad = re.search(r"[/\\]$|(^|/)__MACOSX(/|$)|^([/\\]|[A-Za-z]:)|(^|[/\\])\.\.([/\\]|$)", name) or base.startswith("._") or base == ".DS_Store"
-    return not bad and ext in EXTENSIONS and size <= MAX_ENTRY
+    """The same decision within a task."""
+    return size <= MAX_ENTRY and not any(re.search(pattern, name) for _, pattern in PATHS)
 
 
 def expand_zips(spark: SparkSession, path: str) -> DataFrame:

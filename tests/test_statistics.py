@@ -82,3 +82,14 @@ def test_report_arithmetic(spark):
 
 def test_empty_lines(spark):
     assert simulate.staged_tail(lines(spark, [])).count() == 0
+
+
+def test_normal_columns_equal_the_library(spark):
+    ps = [0.0, 1e-300, 1e-20, 1e-9, 0.0049, 0.02, 0.0749, 0.0751, 0.3, 0.5, 0.7, 0.925, 0.999, 1 - 1e-12, 1.0]
+    zs = [-30.0, -8.0, -3.0, -0.7, -0.6, 0.0, 0.3, 0.66, 1.0, 5.6, 5.7, 12.0, 37.0, 50.0, math.inf, -math.inf]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double").select("i", special.z_of("p").alias("z")).orderBy("i").collect()
+    for p, r in zip(ps, got):
+        assert r["z"] == pytest.approx(special.upper_quantile(p), rel=1e-13, abs=1e-15)
+    got = spark.createDataFrame([(i, z) for i, z in enumerate(zs)], "i int, z double").select("i", special.tail_of("z").alias("t")).orderBy("i").collect()
+    for z, r in zip(zs, got):
+        assert r["t"] == pytest.approx(special.upper_tail(z), rel=1e-13, abs=1e-300)

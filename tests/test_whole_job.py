@@ -53,6 +53,6 @@ def test_titles_are_matched_in_every_language(spark):
 
 
 def test_caption_scores_read_the_texts(spark):
-    scores = {r["score"] for r in plans.QUERIES["lay06_caption_score_texts"](spark, SF).collect()}
+    scores = {r["score"] for r in plans.QUERIES["lay06_caption_score"](spark, SF).collect()}
     # a baseline caption, an outcome table, a bare characteristic and no caption at all
     assert {10, -2, 1, 0} <= scores

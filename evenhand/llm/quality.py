@@ -154,8 +154,8 @@ def posteriors(patterns: list[tuple[str, int]], rounds: int = 200) -> dict[str,
     return dict(zip(names, good.tolist()))
 
 
-def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of docs: `row`, a struct of its columns, counts, base_failed, quality (posterior of good) and kept.
+def judged(docs: DataFrame, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
+    """Per row of docs: `row`, a struct of the columns `carry` (all, by default), counts, base_failed, quality (posterior of good) and kept.
 
     base_failed: under MIN_WORDS words, or over REPEAT_PERCENT % of words in repeated windows.
     Every row is judged by its own text, whatever its id. Null texts are empty and fail; null ids and repeated rows are
@@ -163,8 +163,8 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     spark = docs.sparkSession
     measure = F.pandas_udf(counted, ", ".join(f"{c} long" for c in COUNTS) + ", votes string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = materialize(rows.select("row", measure("row.text").alias("m")).select("row", "m.*"), "quality")
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
+    rows = materialize(docs.select(row.alias("row"), measure("text").alias("m")).select("row", "m.*"), "quality")
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT))
     patterns = rows.groupBy("votes").count().collect()  # at most 3 ** len(RULES) rows
     learned = posteriors(sorted((r[0], r[1]) for r in patterns))
@@ -174,7 +174,7 @@ def judged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), *COUNTS, "base_failed", "kept", F.round("quality", 6).alias("quality"))
+    return judged(table(spark, sf_dir, "documents"), carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), *COUNTS, "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

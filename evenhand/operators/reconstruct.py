@@ -44,9 +44,12 @@ def cells(lines: DataFrame) -> DataFrame:
     return plain.unionByName(heads).unionByName(cat_cells)
 
 
-def table(lines: DataFrame, arms: int) -> DataFrame:
-    """Cells with arms as columns arm_1 to arm_<arms>; missing cells are empty."""
-    wide = cells(lines).groupBy(*KEYS, "variable", "sub").pivot("arm", list(range(1, arms + 1))).agg(F.first("cell"))
+def table(lines: DataFrame, arms: int | None = None) -> DataFrame:
+    """Cells with arms as columns arm_1 to arm_<arms>, as many as any trial has by default (one number to the driver); missing cells are empty."""
+    found = cells(lines)
+    if arms is None:
+        arms = found.agg(F.max("arm")).first()[0] or 0
+    wide = found.groupBy(*KEYS, "variable", "sub").pivot("arm", list(range(1, arms + 1))).agg(F.first("cell")) if arms else found.select(*KEYS, "variable", "sub").distinct()
     return wide.select(*KEYS, "variable", "sub", *[F.coalesce(F.col(str(k)), F.lit("")).alias(f"arm_{k}") for k in range(1, arms + 1)])
 
 

@@ -288,7 +288,7 @@ def rec04(s, d):
 @query("rec08_pivoted_arms", f"""WITH {LINES_SQL}, a AS (SELECT trial, "row" AS variable, row_number() OVER (PARTITION BY trial, "row" ORDER BY line_no) AS arm, format('{{:.1f}} ({{:.1f}})', mean, sd) AS cell FROM lines)
 SELECT trial, variable, coalesce(max(cell) FILTER (arm = 1), '') AS arm_1, coalesce(max(cell) FILTER (arm = 2), '') AS arm_2, coalesce(max(cell) FILTER (arm = 3), '') AS arm_3 FROM a GROUP BY ALL""")
 def rec08(s, d):
-    return reconstruct.table(continuous_lines(s, d), 3).drop("row", "sub")
+    return reconstruct.table(continuous_lines(s, d)).drop("row", "sub")
 
 
 @query("rec07_category_block", f"""WITH {CELLS_SQL} SELECT trial, '    ' || category AS variable, n::VARCHAR AS cell, count(*) AS times FROM cells GROUP BY ALL

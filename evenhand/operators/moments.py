@@ -31,12 +31,13 @@ def continuous_moments(lines: DataFrame) -> DataFrame:
     """
     pooled = lines.groupBy(*KEYS).agg(
         F.sum("n").alias("total"), F.avg("n").alias("mean_n"), _weighted(F.col("mean")).alias("mu"), F.sqrt(_weighted(F.col("sd") * F.col("sd"))).alias("sd_pooled"), F.count(F.lit(1)).alias("arms"),
-        F.sum("mean").alias("s1"), F.sum(F.col("mean") * F.col("mean")).alias("s2"), F.max("round_mean").alias("round_mean"), F.max("round_observation").alias("round_observation"),
+        F.var_pop("mean").alias("spread"), F.avg("mean").alias("plain_mean"), F.max("round_mean").alias("round_mean"), F.max("round_observation").alias("round_observation"),
     )
     pooled = pooled.withColumn("sigma", unbiased_sd(F.col("sd_pooled"), F.col("total"), UNBIAS_BELOW))
     pooled = pooled.withColumn("sem", F.col("sigma") / F.sqrt("mean_n"))
-    observed = F.greatest(F.col("s2") - 2 * F.col("mu") * F.col("s1") + F.col("arms") * F.col("mu") * F.col("mu"), F.lit(0.0))
-    return pooled.withColumn("observed", observed).drop("s1", "s2")
+    # central moments don't cancel where means are large
+    off = F.col("plain_mean") - F.col("mu")
+    return pooled.withColumn("observed", F.col("arms") * (F.col("spread") + off * off)).drop("spread", "plain_mean")
 
 
 def median_moments(lines: DataFrame) -> DataFrame:

@@ -69,7 +69,9 @@ def draw(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: i
         row.alias("row"), "doc_id", "source", word_count(text).alias("size"), (-F.log(u) / (weight if weight is not None else quality_weight(text))).alias("key")
     )
     base = base.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    base = materialize(base, "mix")
+    # written, so that places stay; whole rows are met once, by place, after all sums
+    whole_rows = materialize(base.withColumn("place", F.monotonically_increasing_id()), "mix")
+    base = whole_rows.drop("row")
     ranges = materialize(base.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
@@ -86,7 +88,8 @@ def draw(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: i
     upto = F.col("ahead") + F.sum("size").over(within)
     joined = joined.withColumn("upto", upto)
     extra = (F.col("upto") - F.col("size") / 2 <= F.col("rest")) & (F.col("epochs") < max_epochs) & (F.col("size") > 0)
-    return joined.select("row", "size", "source_size", "target", (F.col("epochs") + extra.cast("int")).alias("copies"))
+    drawn = joined.select("place", "size", "source_size", "target", (F.col("epochs") + extra.cast("int")).alias("copies"))
+    return drawn.join(whole_rows.select("place", "row"), "place").drop("place")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

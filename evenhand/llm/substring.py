@@ -21,7 +21,7 @@ from .common import KEY, Words, keyed, mixed, sliced, small_batches, stretch_has
 #: Runs of fewer words are left alone: short ones recur by chance.
 MIN_WORDS = 25
 #: A piece ends with its line, or with a word whose hash is the least among so many words before and after it.
-NEAR = 4
+NEAR = 6
 _BASE2 = 0xD1342543DE82EF95
 SPANS = "array<struct<start:long,end:long>>"
 

@@ -276,8 +276,8 @@ def frequent_words(words: DataFrame, most: int) -> DataFrame:
 def encoded(docs: DataFrame, path: str, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id and ids array<bigint> of every whole text, without special tokens.
 
-    Null texts are empty and have no ids; null ids and repeated rows are encoded as any other; an
-    empty table gives no rows. Extra columns are ignored.
+    Null texts are empty and have no ids; null ids and repeated rows are encoded as any other; texts and words may
+    have any length; an empty table gives no rows. Extra columns are ignored.
     """
     spark = docs.sparkSession
     ranks = RankMap(spark, load_ranks(path))
@@ -310,7 +310,7 @@ def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs. Nulls, repeated rows, long words and empty tables as in encoded()."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.maxPlanStringLength", "20000")  # the literals would fill logs
     ranks = load_ranks(path)
@@ -325,5 +325,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: the digests of each document of the mix."""
+    """Last stage: the digests of each document of the mix, a row for each time it was taken. Edge cases as in digests()."""
     return digests(docs, public_tokenizers.path(RANKS))

@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: quality, near duplicates, repeated lines, mix, encoding.
 
 Each stage reads what its predecessor kept, as a written table. The decisions are statistical,
-similarity-based or sampled, so SQL can't express them; tests hold the stages against brute force.
+similarity-based or sampled, so SQL can't express them; tests hold each stage's operator against brute force and run
+all stages over edge cases.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over all documents. Nulls, ties, repeated ids and an empty table as each stage says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))

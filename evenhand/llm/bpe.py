@@ -2,14 +2,15 @@
 
 A rank map is a literal: two arrays that a perfect hash of a token pair indexes. The fold keeps a
 word's token ids and its adjacent pairs' ranks, and each step merges the leftmost pair of least rank; long words
-are folded in blocks that are joined exactly. The corpus's most frequent distinct words are folded once and become
-a second literal of bounded size; every other word is folded where it stands, so the bound changes speed only.
+are folded in blocks that are joined exactly. The most frequent distinct words of a sample of the texts are folded once and
+become a second literal of bounded size; every other word is folded where it stands, so bound and sample change speed only.
 Decoding looks up each id's bytes and concatenates the pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import copy
 import functools
 from pathlib import Path
 
@@ -25,7 +26,9 @@ from .common import materialize, release, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct words in the literal at most.
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 1 << 19
+#: One in so many texts is counted, by its hash, to find the frequent words.
+COUNTED = 2
 #: Longer words are folded in blocks of this many bytes, since a fold is quadratic in its bytes.
 BLOCK = 256
 #: An entry's bits: 17 for an id, 28 for a place, 18 for a rank.
@@ -79,21 +82,74 @@ def displacements(firsts: np.ndarray, groups: np.ndarray, n_groups: int, size: i
     return shifts, kept
 
 
-def literal(spark: SparkSession, value: Column) -> Column:
-    """A foldable expression as a literal in Spark's binary row format.
+def _literal(spark: SparkSession, words: np.ndarray, kind: str) -> Column:
+    """64-bit words in Spark's binary array format as a literal of the type `kind`.
 
-    Constant folding would give an array of boxed values, anew wherever the column occurs, and every
-    task would read those object by object; this one is a block of bytes that all occurrences share.
+    They reach the JVM piece by piece, so that the driver never holds them as texts or boxed values.
     """
-    frame = spark.range(1).select(value)._jdf
-    data = frame.queryExecution().executedPlan().executeCollect()[0].getArray(0).copy()
-    jvm = spark._jvm.org.apache.spark.sql
-    expression = jvm.catalyst.expressions.Literal.create(data, frame.schema().apply(0).dataType())
-    return Column(jvm.classic.ExpressionUtils.column(expression))
+    jvm, nio = spark._jvm.org.apache.spark, spark._jvm.java.nio
+    held = spark.sparkContext._gateway.new_array(spark._jvm.long, len(words))
+    for at in range(0, len(words), 1 << 17):
+        part = words[at : at + (1 << 17)].astype("<i8")
+        nio.ByteBuffer.wrap(part.tobytes()).order(nio.ByteOrder.LITTLE_ENDIAN).asLongBuffer().get(held, at, len(part))
+    data = jvm.sql.catalyst.expressions.UnsafeArrayData()
+    data.pointTo(held, jvm.unsafe.Platform.LONG_ARRAY_OFFSET, 8 * len(words))
+    expression = jvm.sql.catalyst.expressions.Literal.create(data, jvm.sql.types.DataType.fromDDL(kind))
+    return Column(jvm.sql.classic.ExpressionUtils.column(expression))
 
 
-def _longs(spark: SparkSession, values) -> Column:
-    return literal(spark, F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>"))
+def _array(values: np.ndarray) -> np.ndarray:
+    """The binary format of array<bigint>: the size, a bit for each null, the values."""
+    return np.concatenate(([len(values)], np.zeros(-(-len(values) // 64), np.int64), values)).astype(np.int64)
+
+
+def _placed(sizes: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The binary format of an array of elements that take `filled` 64-bit words and `sizes` bytes of these; where each begins."""
+    head = 1 - (-len(sizes) // 64) + len(sizes)
+    begins = head + np.cumsum(filled) - filled
+    out = np.zeros(head + int(filled.sum()), np.int64)
+    out[: head] = _array(begins << 35 | sizes)
+    return out, begins
+
+
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _longs(spark: SparkSession, values: np.ndarray) -> Column:
+    return _literal(spark, _array(np.asarray(values, np.int64)), "array<bigint>")
+
+
+def _packed(values: np.ndarray) -> np.ndarray:
+    """32-bit values, two to a 64-bit word."""
+    return np.concatenate([values, np.zeros(len(values) % 2, np.int64)]).astype("<i4").view(np.int64)
+
+
+def _ints(spark: SparkSession, values: np.ndarray) -> Column:
+    head = _array(np.zeros(len(values), np.int64))[: 1 - (-len(values) // 64)]
+    return _literal(spark, np.concatenate([head, _packed(values)]), "array<int>")
+
+
+def _strings(spark: SparkSession, texts: pa.Array) -> Column:
+    ends = pc.cumulative_sum(pc.binary_length(texts).cast(pa.int64())).to_numpy(zero_copy_only=False)
+    sizes = np.diff(ends, prepend=0)
+    out, begins = _placed(sizes, (sizes + 7) // 8)
+    if len(sizes) and ends[-1]:
+        first = texts.cast(pa.large_binary())
+        start = int(np.frombuffer(first.buffers()[1], np.int64, 1, 8 * first.offset)[0])
+        out.view(np.uint8)[np.repeat(8 * begins, sizes) + _ranges(sizes)] = np.frombuffer(first.buffers()[2], np.uint8, int(ends[-1]), start)
+    return _literal(spark, out, "array<string>")
+
+
+def _lists(spark: SparkSession, values: np.ndarray, sizes: np.ndarray) -> Column:
+    """Lists of `sizes` values each, one after another, as array<array<int>>."""
+    head = 1 + (sizes + 63) // 64
+    filled = head + (sizes + 1) // 2
+    out, begins = _placed(8 * filled, filled)
+    out[begins] = sizes
+    out.view("<i4")[np.repeat(2 * (begins + head), sizes) + _ranges(sizes)] = values
+    return _literal(spark, out, "array<array<int>>")
 
 
 def _long(value: int) -> Column:
@@ -105,6 +161,14 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _held(literals: dict[str, Column], body) -> Column:
+    """body(fields) where each literal stands in the plan once.
+
+    Spark hashes all bytes of a literal wherever it occurs, in the driver for every step of planning and again for each task.
+    """
+    return _let(F.struct(*[value.alias(name) for name, value in literals.items()]), body)
+
+
 def _prime(least: int) -> int:
     return next(n for n in range(max(3, least) | 1, 2 * least + 9, 2) if all(n % d for d in range(3, int(n**0.5) + 1, 2)))
 
@@ -128,14 +192,21 @@ class RankMap:
         slots = keys % self.size + shifts[keys % self.n_groups]
         found = np.full(2 * self.size, -1, np.int64)
         found[slots] = keys << _ID_BITS | rank
-        self.shifts, self.found = _longs(spark, shifts), _longs(spark, found[: slots.max(initial=0) + self.size + 1])
+        # every slot that a key can reach, also one that holds none
+        self.literals = {"shifts": _longs(spark, shifts), "found": _longs(spark, found[: shifts.max(initial=0) + self.size])}
         byte_ids = [ranks[bytes([b])] for b in range(256)]
         starts = np.full((256, 257), _NO_RANK << _RANK_AT, np.int64)
         for a in range(256):
             for b in range(256):
                 if (r := pairs.get((byte_ids[a], byte_ids[b]))) is not None:
                     starts[a, b] = r << _RANK_AT
-        self.starts = _longs(spark, (starts + np.array(byte_ids)[:, None]).ravel())
+        self.literals["starts"] = _longs(spark, (starts + np.array(byte_ids)[:, None]).ravel())
+
+    def held(self, fields: Column) -> RankMap:
+        """This map over the fields of _held(literals), for use in its body."""
+        out = copy.copy(self)
+        out.shifts, out.found, out.starts = (fields[name] for name in ("shifts", "found", "starts"))
+        return out
 
     def entry(self, e: Column) -> Column:
         """The entry of place << 2 * _ID_BITS | token << _ID_BITS | right neighbour.
@@ -154,20 +225,21 @@ class RankMap:
             return F.get(self.starts, x * 257 + after) + F.shiftleft(i.cast("long") + offset, _ID_BITS)
 
         place_and_id = _long((1 << _RANK_AT) - 1)
+        entry = lambda e: _let(e, self.entry)
 
         def step(now: Column, _) -> Column:
             def merge(least: Column) -> Column:
-                def at(p: Column) -> Column:
-                    token = F.shiftright(least, _RANK_AT)
-                    after = F.coalesce(F.get(now, p + 1).bitwiseAND(_long(_NO_ID)), _long(_NO_ID))
-                    before = F.shiftleft(F.get(now, p - 2).bitwiseAND(place_and_id), _ID_BITS).bitwiseOR(token)
-                    place = F.shiftleft(least.bitwiseAND(_long((1 << _RANK_AT) - 1 - _NO_ID)), _ID_BITS)
+                token = F.shiftright(least, _RANK_AT)
+
+                def changed(e: Column, i: Column) -> Column:
+                    after = F.coalesce(F.get(now, i + 2).bitwiseAND(_long(_NO_ID)), _long(_NO_ID))
+                    place = F.shiftleft(e.bitwiseAND(_long((1 << _RANK_AT) - 1 - _NO_ID)), _ID_BITS)
                     grown = place.bitwiseOR(F.shiftleft(token, _ID_BITS)).bitwiseOR(after)
-                    left, right = F.get(now, p - 2), F.get(now, p)
-                    changed = lambda e: F.when(e == least, self.entry(grown)).when(e == left, self.entry(before)).otherwise(e)
-                    return F.transform(F.array_remove(now, right), changed)
+                    before = F.shiftleft(e.bitwiseAND(place_and_id), _ID_BITS).bitwiseOR(token)
+                    return F.when(e == least, entry(grown)).when(F.get(now, i + 1) == least, entry(before)).otherwise(e)
 
-                return F.when(least < _long(_NO_RANK << _RANK_AT), _let(F.array_position(now, least).cast("int"), at)).otherwise(now)
+                right = F.get(now, F.array_position(now, least).cast("int"))
+                return F.when(least < _long(_NO_RANK << _RANK_AT), F.array_remove(F.transform(now, changed), right)).otherwise(now)
 
             return _let(F.array_min(now), merge)
 
@@ -218,14 +290,18 @@ class RankMap:
 
     def fold(self, word: Column) -> Column:
         """array<bigint> of the ids of a word."""
+        return _held(self.literals, lambda fields: self.held(fields).folded(word))
+
+    def folded(self, word: Column) -> Column:
+        """As fold(), of a map that is held."""
         return F.transform(self.entries(word), lambda e: e.bitwiseAND(_long(_NO_ID)))
 
 
 class WordMap:
-    """Encoded words as literal columns, by a perfect hash of xxhash64."""
+    """Encoded words as literal columns, by a perfect hash of xxhash64; the words that come first lie together."""
 
     def __init__(self, spark: SparkSession, words: pa.Array, ids: pa.Array):
-        """ids: each word's ids as text, with commas between."""
+        """ids: each word's ids, a list."""
         hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer(), seed=42) for w in words), np.uint64, len(words)).astype(np.int64)
         size = 1 << max(4, int(len(words) * 1.3).bit_length())
         n_groups = max(1, size // 8)
@@ -235,24 +311,23 @@ class WordMap:
         row_at[(firsts + shifts[groups])[kept]] = np.flatnonzero(kept)
         row_at = row_at[: int(np.flatnonzero(row_at >= 0).max(initial=0)) + 1]
         self.size, self.n_groups = size, n_groups
-        # one long text each: the driver never holds an object per word
-        at = pa.array(row_at, mask=row_at < 0)
-        joined = lambda column, gap: pc.binary_join(pa.ListArray.from_arrays([0, len(row_at)], pc.fill_null(column.take(at), "")), gap)[0].as_py()
-        self.shifts = _longs(spark, shifts)
-        # a separator that no word holds: every word is matched by the pattern within one text, and U+0000 words are left out
-        self.words = literal(spark, F.split(F.lit(joined(words, "\0")), "\0", -1))
-        self.ids = literal(spark, F.from_json(F.lit("[[" + joined(ids, "],[") + "]]"), "array<array<bigint>>"))
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.literals = {
+            "word_shifts": _longs(spark, shifts), "rows": _ints(spark, row_at), "words": _strings(spark, words),
+            "ids": _lists(spark, ids.flatten().to_numpy(zero_copy_only=False), sizes),
+        }
 
-    def ids_or(self, words: Column, other) -> Column:
-        """array<array<bigint>>: the ids of each of `words`, other(word) where the literal doesn't hold it."""
-        def slot(w: Column) -> Column:
-            h = F.xxhash64(w)  # hashing a word thrice takes less than holding its hash
-            return h.bitwiseAND(_long(self.size - 1)) + F.get(self.shifts, F.shiftright(h, 40).bitwiseAND(_long(self.n_groups - 1)))
+    def ids_or(self, fields: Column, words: Column, other) -> Column:
+        """array<array<int>>: the ids of each of `words`, other(word) where the literal doesn't hold it; in the body of _held(literals)."""
+        def row(w: Column) -> Column:
+            h = F.xxhash64(w)  # hashing a word twice takes less than holding its hash
+            slot = h.bitwiseAND(_long(self.size - 1)) + F.get(fields["word_shifts"], F.shiftright(h, 40).bitwiseAND(_long(self.n_groups - 1)))
+            return F.get(fields["rows"], slot)
 
-        def ids(s: Column, i: Column) -> Column:
-            return F.when(F.get(self.words, s).eqNullSafe(F.get(words, i)), F.get(self.ids, s)).otherwise(other(F.get(words, i)))
+        def ids(r: Column, i: Column) -> Column:
+            return F.when(F.get(fields["words"], r).eqNullSafe(F.get(words, i)), F.get(fields["ids"], r)).otherwise(other(F.get(words, i)).cast("array<int>"))
 
-        return F.transform(F.transform(words, slot), ids)
+        return F.transform(F.transform(words, row), ids)
 
 
 def split_words(text: Column, text_pattern: str = public_tokenizers.PATTERN) -> Column:
@@ -260,9 +335,9 @@ def split_words(text: Column, text_pattern: str = public_tokenizers.PATTERN) ->
 
 
 def frequent_words(words: DataFrame, most: int) -> DataFrame:
-    """Of rows with an array `words`: the distinct words above the least count that leaves `most` at most."""
+    """Of rows with an array `words`: the distinct words above the least count that leaves `most` at most, and their counts `n`."""
     counted = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counted = materialize(counted.filter((F.octet_length("word") <= BLOCK) & ~F.contains("word", F.lit("\0")) & (F.col("n") > 1)), "bpe-words")
+    counted = materialize(counted.filter((F.octet_length("word") <= BLOCK) & (F.col("n") > 1)), "bpe-words")
     # as many rows as there are different counts below `most`, and one
     by_count = counted.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
     held, least = 0, most + 1
@@ -270,33 +345,33 @@ def frequent_words(words: DataFrame, most: int) -> DataFrame:
         if held + k > most:
             break
         held, least = held + k, n
-    return counted.filter(F.col("n") >= least).select("word")
+    return counted.filter(F.col("n") >= least)
 
 
 def encoded(docs: DataFrame, path: str, known_words: int = KNOWN_WORDS) -> DataFrame:
-    """doc_id and ids array<bigint> of every whole text, without special tokens.
+    """doc_id and ids array<int> of every whole text, without special tokens.
 
     Null texts are empty and have no ids; null ids and repeated rows are encoded as any other; texts and words may
     have any length; an empty table gives no rows. Extra columns are ignored.
     """
     spark = docs.sparkSession
     ranks = RankMap(spark, load_ranks(path))
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_words(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    known = frequent_words(split, known_words)
+    split = lambda rows: rows.select(F.col("doc_id").cast("long").alias("doc_id"), split_words(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    known = frequent_words(split(docs.filter(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0)), known_words)
     release(spark)
-    rows = known.select("word", F.array_join(ranks.fold(F.col("word")).cast("array<string>"), ",").alias("ids")).toArrow()  # at most known_words rows
-    rows = rows.sort_by("word").combine_chunks()
+    rows = known.select("word", ranks.fold(F.col("word")).alias("ids"), "n").toArrow()  # at most known_words rows
+    rows = rows.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
     words = WordMap(spark, *(rows.column(name).combine_chunks() for name in ("word", "ids")))
     del rows
     pa.default_memory_pool().release_unused()
     release(spark)
-    return split.select("doc_id", F.flatten(words.ids_or(F.col("words"), ranks.fold)).alias("ids"))
+    ids = lambda fields: F.flatten(words.ids_or(fields, F.col("words"), ranks.held(fields).folded))
+    return split(docs).select("doc_id", _held(ranks.literals | words.literals, ids).alias("ids"))
 
 
 def id_bytes(spark: SparkSession, ids: Column, vocabulary: int) -> Column:
     """The ids as little-endian unsigned 32-bit integers."""
-    texts = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(vocabulary))), ",")
-    texts = literal(spark, texts)
+    texts = _strings(spark, pa.array([i.to_bytes(4, "little").hex() for i in range(vocabulary)]))
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(texts, i)), ""))
 
 
@@ -305,7 +380,7 @@ def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column
     pieces = [""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         pieces[i] = token.hex()
-    texts = literal(spark, F.split(F.lit(",".join(pieces)), ","))
+    texts = _strings(spark, pa.array(pieces))
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(texts, i)), ""))
 
 

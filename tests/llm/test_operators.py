@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import struct
 
 import numpy as np
@@ -134,6 +135,36 @@ def test_perfect_hash_places_keys_apart():
     assert len(set(places.tolist())) == kept.sum() == len(set(zip(firsts.tolist(), groups.tolist()))) and places.max() < 1024
 
 
+def test_bpe_literals_hold_what_they_are_given(spark):
+    import pyarrow as pa
+
+    texts, lists = ["", "a", "é漢", "x" * 300, "12345678", "\0y"], [[], [7], list(range(130)), [1, 2], [50_000], [3, 4, 5]]
+    flat, sizes = np.array([x for part in lists for x in part], np.int64), np.array([len(part) for part in lists])
+    found = spark.range(1).select(
+        bpe._longs(spark, np.arange(-3, 200_000)).alias("longs"), bpe._ints(spark, np.arange(-2, 99)).alias("ints"), bpe._strings(spark, pa.array(["left out", *texts])[1:]).alias("texts"), bpe._lists(spark, flat, sizes).alias("lists")
+    ).first()
+    assert found["longs"] == list(range(-3, 200_000)) and found["ints"] == list(range(-2, 99))
+    assert found["texts"] == texts and found["lists"] == lists
+    empty = np.zeros(0, np.int64)
+    none = spark.range(1).select(bpe._longs(spark, empty).alias("a"), bpe._strings(spark, pa.array([], pa.string())).alias("b"), bpe._lists(spark, empty, empty).alias("c")).first()
+    assert [*none] == [[], [], []]
+
+
+def test_bpe_plan_holds_each_literal_once(spark):
+    # Spark hashes a literal's bytes wherever it occurs, and so does every task
+    rows = docs(spark, [(i, "the cat and the dog " * 3, "a") for i in range(8)])
+    plan = bpe.encoded(rows, public_tokenizers.path(bpe.RANKS))._jdf.queryExecution().analyzed().toString()
+    seen = re.findall(r"UnsafeArrayData@\w+", plan)
+    assert len(seen) == len(set(seen)) == 7
+
+
+@pytest.mark.parametrize("known", [0, 3, 1000])
+def test_bpe_result_does_not_depend_on_known_words(spark, known):
+    texts = [" ".join(random.Random(i).choices(["the", "naïve", "x\0y", "漢字", "retionhesh", "12", "..."], k=40)) for i in range(12)]
+    found = bpe.encoded(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), public_tokenizers.path(bpe.RANKS), known).collect()
+    assert {r["doc_id"]: r["ids"] for r in found} == dict(enumerate(library(texts)))
+
+
 def test_bpe_empty_table(spark, none):
     assert bpe.digests(none, public_tokenizers.path(bpe.RANKS)).count() == 0
 

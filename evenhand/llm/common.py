@@ -64,11 +64,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, few: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    few: in four files a core at most, however many partitions there are, for tables of short rows that are written again
+    and again. On a local file system each file costs a forked process, which for a moment counts an executor's memory twice.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

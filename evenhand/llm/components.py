@@ -13,7 +13,7 @@ ROUNDS = 60
 def _least(edges: DataFrame) -> DataFrame:
     """a, m: the least of a and its neighbours. Partial sums keep hubs from gathering in one task."""
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return materialize(least, "cc-least")
+    return materialize(least, "cc-least", few=True)
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     stops when the edges no longer change. Every round is written to the shared folder, so a lost
     executor costs the running round only. No edges give no rows.
     """
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", few=True)
     mark = _mark(now)
     for _ in range(ROUNDS):
         both = _both(now)
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = small.join(_least(small), "a").select("a", "b", "m")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        now = materialize(small.filter("a <> b").distinct(), "cc")
+        now = materialize(small.filter("a <> b").distinct(), "cc", few=True)
         before, mark = mark, _mark(now)
         if before == mark:
             break

@@ -155,11 +155,11 @@ def grouped(rows: DataFrame, similarity: float, recall: float, block: int) -> Da
     )
     exploded = members.select("id", F.posexplode("bands").alias("band", "hash"))
     # written tables on both sides let Spark split hot buckets and groups
-    buckets = materialize(exploded.groupBy("band", "hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "neardup-buckets")
+    buckets = materialize(exploded.groupBy("band", "hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "neardup-buckets", few=True)
     stars = exploded.join(buckets, ["band", "hash"]).filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    groups = materialize(components(stars), "neardup-groups")
+    groups = materialize(components(stars), "neardup-groups", few=True)
     each = F.least(F.lit(max(block, FULL_BLOCK)), F.greatest(F.lit(block), F.ceil(F.col("n") / SPREAD)))
-    sizes = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / each).cast("int")), "neardup-sizes")
+    sizes = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / each).cast("int")), "neardup-sizes", few=True)
     placed = groups.join(sizes, "root").select(F.col("node").alias("id"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     placed = placed.join(members.select("id", "copies"), "id")
     parts = lambda c, names: [F.col(f"{c}.{k}").alias(n) for k, n in zip(KEY, names)]
@@ -192,7 +192,7 @@ def grouped(rows: DataFrame, similarity: float, recall: float, block: int) -> Da
     node = lambda a, b: F.struct(F.col(a).alias(KEY[0]), F.col(b).alias(KEY[1]))
     verified = materialize(units.mapInPandas(verify, "i0 long, i1 long, links long, t0 long, t1 long").select(node("i0", "i1").alias("id"), "links", node("t0", "t1").alias("to")), "neardup-verified")
     linked = verified.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = materialize(components(verified.select(F.col("id").alias("a"), F.col("to").alias("b"))), "neardup-classes")
+    classes = materialize(components(verified.select(F.col("id").alias("a"), F.col("to").alias("b"))), "neardup-classes", few=True)
     known = (
         members.select("digest", "id", "copies")
         .join(linked, "id", "left")

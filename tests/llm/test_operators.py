@@ -443,6 +443,24 @@ def test_components_of_chains_stars_and_hubs(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_write_few_files(spark, monkeypatch):
+    # a file is a forked process where files are local, and many partitions made as many files a round
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    tables = []
+    real = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda *a, **b: tables.append(real(*a, **b)) or tables[-1])
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(600).filter("id % 10 <> 0").selectExpr("id AS a", "id - 1 AS b")
+        found = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert found == {i: i // 10 * 10 for i in range(600)}
+    assert tables and max(len(t.inputFiles()) for t in tables) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_bands_reach_the_recall():
     bands, rows = neardup.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 192

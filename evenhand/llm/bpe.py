@@ -1,6 +1,6 @@
 """Byte-level BPE on the JVM: higher-order functions fold ranked merges over the bytes of words.
 
-A rank map is a literal: two arrays that a perfect hash of a token pair indexes. The fold keeps a
+A rank map is a literal: a sparse table of left by right tokens, its rows shifted into one array. The fold keeps a
 word's token ids and its adjacent pairs' ranks, and each step merges the leftmost pair of least rank; long words
 are folded in blocks that are joined exactly. The most frequent distinct words of a sample of the texts are folded once and
 become a second literal of bounded size; every other word is folded where it stands, so bound and sample change speed only.
@@ -82,6 +82,31 @@ def displacements(firsts: np.ndarray, groups: np.ndarray, n_groups: int, size: i
     return shifts, kept
 
 
+def row_shifts(columns: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """A sparse table's rows in one array: shifts so that column + shift of row differ for all cells. Cells are distinct."""
+    order = np.argsort(rows, kind="stable")
+    cuts = np.searchsorted(rows[order], np.arange(n_rows + 1)).tolist()
+    counts, columns = np.diff(cuts), columns[order]
+    taken, shifts, least = np.zeros(2 * len(columns) + 1, bool), np.zeros(n_rows, np.int64), {}
+    for row in np.argsort(-counts, kind="stable").tolist():
+        own = columns[cuts[row] : cuts[row + 1]].tolist()
+        if not own:
+            break
+        # rows of like size start where the last one was placed
+        d, block = least.get(len(own).bit_length(), 0), 64
+        while True:
+            if (more := max(own) + d + block - len(taken)) > 0:
+                taken = np.concatenate([taken, np.zeros(more + len(taken), bool)])
+            used = np.logical_or.reduce([taken[c + d : c + d + block] for c in own])
+            if not used.all():
+                break
+            d, block = d + block, min(4096, 2 * block)
+        d += int(used.argmin())
+        taken[np.array(own) + d] = True
+        shifts[row] = least[len(own).bit_length()] = d
+    return shifts
+
+
 def _literal(spark: SparkSession, words: np.ndarray, kind: str) -> Column:
     """64-bit words in Spark's binary array format as a literal of the type `kind`.
 
@@ -174,7 +199,7 @@ def _prime(least: int) -> int:
 
 
 class RankMap:
-    """The pair ranks as literal columns, by a perfect hash, and the fold of a word's merges by them.
+    """The pair ranks as literal columns, a sparse table, and the fold of a word's merges by them.
 
     An entry of the fold packs the rank of a token and its right neighbour, the token's place (a byte offset)
     and its id, so that an array's minimum is the leftmost pair of least rank. A pair without a rank has _NO_RANK.
@@ -182,18 +207,13 @@ class RankMap:
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         pairs = pair_ranks(ranks)
-        keys = np.array([a << _ID_BITS | b for a, b in pairs], np.int64)
-        rank = np.fromiter(pairs.values(), np.int64, len(pairs))
-        # keys that agree modulo both primes differ by their product at least, and a key is below 2 ** 34
-        self.size = _prime(max(300_000, int(len(keys) * 1.3)))
-        self.n_groups = _prime(max(60_000, len(keys) // 4))
-        shifts, kept = displacements(keys % self.size, keys % self.n_groups, self.n_groups, self.size)
+        left, right = np.array(list(pairs), np.int64).reshape(-1, 2).T
         assert max(ranks.values()) < _NO_ID, "ids take 17 bits"
-        slots = keys % self.size + shifts[keys % self.n_groups]
-        found = np.full(2 * self.size, -1, np.int64)
-        found[slots] = keys << _ID_BITS | rank
-        # every slot that a key can reach, also one that holds none
-        self.literals = {"shifts": _longs(spark, shifts), "found": _longs(spark, found[: shifts.max(initial=0) + self.size])}
+        shifts = row_shifts(right, left, max(ranks.values()) + 1)
+        slots = right + shifts[left]
+        found = np.full(slots.max(initial=-1) + 1, -1, np.int64)
+        found[slots] = left << _ID_BITS | np.fromiter(pairs.values(), np.int64, len(pairs))
+        self.literals = {"shifts": _longs(spark, shifts), "found": _longs(spark, found)}
         byte_ids = [ranks[bytes([b])] for b in range(256)]
         starts = np.full((256, 257), _NO_RANK << _RANK_AT, np.int64)
         for a in range(256):
@@ -208,15 +228,14 @@ class RankMap:
         out.shifts, out.found, out.starts = (fields[name] for name in ("shifts", "found", "starts"))
         return out
 
-    def entry(self, e: Column) -> Column:
-        """The entry of place << 2 * _ID_BITS | token << _ID_BITS | right neighbour.
+    def entry(self, token: Column, right: Column, placed: Column) -> Column:
+        """The entry of a token, given with its place as `placed`, and its right neighbour, null for none.
 
-        A slot that holds the pair gives its rank when the pair is masked out, another one a larger number.
+        A slot that holds a pair of this token gives its rank when the token is masked out, another one a larger number.
         """
-        key = e.bitwiseAND(_long((1 << 2 * _ID_BITS) - 1))
-        slot = key % self.size + F.get(self.shifts, key % self.n_groups)
-        rank = F.least(F.get(self.found, slot).bitwiseXOR(F.shiftleft(key, _ID_BITS)).bitwiseAND(_long(2**63 - 1)), _long(_NO_RANK))
-        return F.shiftleft(rank, _RANK_AT).bitwiseOR(F.shiftright(e, _ID_BITS))
+        slot = F.get(self.shifts, token) + right
+        rank = F.least(F.get(self.found, slot).bitwiseXOR(F.shiftleft(token, _ID_BITS)).bitwiseAND(_long(2**63 - 1)), _long(_NO_RANK))
+        return F.shiftleft(rank, _RANK_AT).bitwiseOR(placed)
 
     def merged(self, codes: Column, offset: Column) -> Column:
         """Entries of the tokens of bytes given as numbers; places count from `offset`."""
@@ -224,19 +243,18 @@ class RankMap:
             after = F.coalesce(F.get(codes, i + 1), F.lit(256))
             return F.get(self.starts, x * 257 + after) + F.shiftleft(i.cast("long") + offset, _ID_BITS)
 
-        place_and_id = _long((1 << _RANK_AT) - 1)
-        entry = lambda e: _let(e, self.entry)
+        id_of = lambda e: e.bitwiseAND(_long(_NO_ID))
+        placed = lambda e: e.bitwiseAND(_long((1 << _RANK_AT) - 1))
+        place = lambda e: e.bitwiseAND(_long((1 << _RANK_AT) - 1 - _NO_ID))
 
         def step(now: Column, _) -> Column:
             def merge(least: Column) -> Column:
                 token = F.shiftright(least, _RANK_AT)
 
                 def changed(e: Column, i: Column) -> Column:
-                    after = F.coalesce(F.get(now, i + 2).bitwiseAND(_long(_NO_ID)), _long(_NO_ID))
-                    place = F.shiftleft(e.bitwiseAND(_long((1 << _RANK_AT) - 1 - _NO_ID)), _ID_BITS)
-                    grown = place.bitwiseOR(F.shiftleft(token, _ID_BITS)).bitwiseOR(after)
-                    before = F.shiftleft(e.bitwiseAND(place_and_id), _ID_BITS).bitwiseOR(token)
-                    return F.when(e == least, entry(grown)).when(F.get(now, i + 1) == least, entry(before)).otherwise(e)
+                    grown = self.entry(token, id_of(F.get(now, i + 2)), place(least).bitwiseOR(token))
+                    before = self.entry(id_of(e), token, placed(e))
+                    return F.when(e == least, grown).when(F.get(now, i + 1) == least, before).otherwise(e)
 
                 right = F.get(now, F.array_position(now, least).cast("int"))
                 return F.when(least < _long(_NO_RANK << _RANK_AT), F.array_remove(F.transform(now, changed), right)).otherwise(now)
@@ -365,8 +383,8 @@ def encoded(docs: DataFrame, path: str, known_words: int = KNOWN_WORDS) -> DataF
     del rows
     pa.default_memory_pool().release_unused()
     release(spark)
-    ids = lambda fields: F.flatten(words.ids_or(fields, F.col("words"), ranks.held(fields).folded))
-    return split(docs).select("doc_id", _held(ranks.literals | words.literals, ids).alias("ids"))
+    ids = lambda fields: words.ids_or(fields, F.col("words"), ranks.held(fields).folded)
+    return split(docs).select("doc_id", F.flatten(_held(ranks.literals | words.literals, ids)).alias("ids"))
 
 
 def id_bytes(spark: SparkSession, ids: Column, vocabulary: int) -> Column:

@@ -135,6 +135,29 @@ def test_perfect_hash_places_keys_apart():
     assert len(set(places.tolist())) == kept.sum() == len(set(zip(firsts.tolist(), groups.tolist()))) and places.max() < 1024
 
 
+def test_row_shifts_place_cells_apart():
+    rng = np.random.default_rng(4)
+    cells = np.unique(np.concatenate([rng.integers(0, 90 * 500, 2000), np.arange(450)]))  # the first row is almost full
+    columns, rows = cells % 500, cells // 500
+    shifts = bpe.row_shifts(columns, rows, 91)
+    assert len(set((columns + shifts[rows]).tolist())) == len(cells) and shifts[90] == 0
+    assert bpe.row_shifts(np.zeros(0, np.int64), np.zeros(0, np.int64), 3).tolist() == [0, 0, 0]
+
+
+def test_bpe_rank_map_holds_its_pairs_and_no_others(spark):
+    ranks = bpe.load_ranks(public_tokenizers.path(bpe.RANKS))
+    pairs, r, last = bpe.pair_ranks(ranks), random.Random(3), max(ranks.values())
+    asked = r.sample(list(pairs), 3000) + [(r.randint(0, last), r.randint(0, last)) for _ in range(3000)] + [(a, None) for a in range(0, last + 1, 50)]
+    asked += [(a + 1, b) for a, b in r.sample(list(pairs), 1000)]
+    own = bpe.RankMap(spark, ranks)
+    rows = spark.createDataFrame(asked, "a long, b long")
+    entry = bpe._held(own.literals, lambda fields: own.held(fields).entry(F.col("a"), F.col("b"), F.col("a")))
+    found = rows.select("a", "b", F.shiftright(entry, bpe._RANK_AT).alias("rank"), entry.bitwiseAND(bpe._long(bpe._NO_ID)).alias("id")).collect()
+    assert all(x["rank"] == pairs.get((x["a"], x["b"]), bpe._NO_RANK) and x["id"] == x["a"] for x in found)
+    # the slot of a pair is a sum: a remainder would be taken twice for each merge
+    assert "%" not in rows.select(own.fold(F.lit("ab")))._jdf.queryExecution().analyzed().toString()
+
+
 def test_bpe_literals_hold_what_they_are_given(spark):
     import pyarrow as pa
 

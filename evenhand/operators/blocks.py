@@ -1,400 +1,161 @@
 """Table blocks: from positioned words below a caption to variables by arm.
 
-A block (doc, block) holds lines of words; `cap` is its caption's line, 0 if it is read from the top. Every step is
-a plan over lines, cells or arms keyed by block, so all steps share one partitioning, and a block's order is its line_no.
+A block (doc, block) holds lines of words; `cap` is its caption's line, 0 if it is read from the top. Its words are brought
+together once and parse.py reads it whole, so that a block costs one pass however many tables are asked of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+from collections.abc import Iterator
+from itertools import repeat
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_label, squish
-from .armn import approximate_count, count_from_pct, derive_arm_n
-from .layout import COLUMN_GAP, cluster_columns
-from .tokens import offsets, positioned, span
+from . import parse
+from .parse import BARE_SKIP, CAPTION, COUNT_SKIP, MEDIAN_SKIP, PERCENT_SKIP  # noqa: F401
 
 KEYS = ["doc", "block"]
-_BEFORE, _NOW = W.unboundedPreceding, W.currentRow
-
-
-def _whole():
-    return W.partitionBy(*KEYS)
-
-
-def _upto(last: int = _NOW):
-    return _whole().orderBy("line_no").rowsBetween(_BEFORE, last)
-
-
-# What ends a table, what announces one, and the words that decide how a cell is read.
-STOP = (
-    "(?i)^(values|data|results|numbers|figures)\\s+(are|were)|presented\\s+as|expressed\\s+as|given\\s+as|shown\\s+as|^abbreviations?|^definition\\s+of|^(figure|fig\\.)\\s*\\d|^(\\*|\u2020|\u2021|\u00a7)\\s"
-)
-CAPTION = "(?i)^(table|tab\\.?)\\s+([0-9]{1,2}|[IVXL]{1,4})\\b"
-ARM_SIZE = "(?i)n\\s*=\\s*\\d[\\d,]*"
-SIZE_ROW = "(?i)^(no\\.?\\s+of\\s+(patients|subjects|cases)|n|number\\s+of\\s+(patients|subjects))$"
-P_COLUMN = "(?i)p[-\u2013 ]?values?|significance"
-DASHED = "(?i)mean\\s*[-\u2013\u2212]+\\s*s\\.?d\\b"
-MEASURES = (
-    "(?i)age|weight|height|bmi|body\\s+mass|duration|time|pressure|rate|score|hemoglobin|haemoglobin|creatinine|glucose|albumin|dose|volume|length|circumference|temperature|count|level"
-)
-SAYS_SE, SAYS_SD = "(?i)\\bs\\.?e\\.?m?\\.?\\b|standard\\s+error", "(?i)\\bs\\.?d\\.?\\b|standard\\s+deviation"
-SAYS_MEAN_SD = "(?i)mean\\s*[(\u00b1]\\s*(sd|standard deviation)"
-SAYS_COUNT_PCT = "(?i)(numbers?|counts?|figures?)\\s*\\(\\s*%|\\bn\\s*\\(\\s*%\\s*\\)|number\\s*\\(\\s*per\\s*cent"
-SAYS_PCT = "(?i)%|\\bpercent"
-DEMOGRAPHIC = "(?i)\\bage\\b|\\bsex\\b|gender|\\bmale\\b|female|weight|height|\\bbmi\\b|body\\s+mass|\\basa\\b"
-PERCENT_SKIP = "percent only - needs the arm N, and the printed percent must pin a unique count (or approximate = true); enter by hand"
-MEDIAN_SKIP = "median [range/IQR] - integrity analysis needs mean and SD"
-BARE_SKIP = "bare number with no category header and no SD - not usable"
-COUNT_SKIP = "n (%) with unknown arm N - complement category cannot be computed; edit by hand"
-
-#: Lines below a caption that may hold numbers before the arm sizes; lines without numbers that end a table before and after its first data.
-HEAD_LINES, HEAD_NUMBERS, PROSE_BEFORE, PROSE_AFTER, PROSE_WORDS, FOOT_LINES = 8, 3, 6, 3, 8, 4
-
-
-def lines_of(words: DataFrame) -> DataFrame:
-    """doc, block, cap, line_no, text, boxes and tokens from words (doc, block, cap, line_no, word_no, text, x, width)."""
-    row = F.array_sort(F.collect_list(F.struct("x", "word_no", "text", "width")))
-    lines = words.groupBy(*KEYS, "cap", "line_no").agg(row.alias("w"))
-
-    def box(w: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice("w", F.lit(1), i), F.lit(0), lambda a, b: a + F.length(b["text"]) + 1)
-        return F.struct(start.alias("s"), (start + F.length(w["text"])).alias("e"), w["x"].alias("x0"), (w["x"] + w["width"]).alias("x1"), w["text"].alias("text"))
-
-    lines = lines.select(*KEYS, "cap", "line_no", F.concat_ws(" ", F.transform("w", lambda w: w["text"])).alias("text"), F.transform("w", box).alias("boxes"))
-    return lines.withColumn("tokens", positioned(F.col("text"), F.col("boxes")))
-
-
-def dash_pairs(text: Column, tokens: Column) -> Column:
-    """Two numbers that a dash joins, such as 40.8-12.0, as mean and SD, where two or more such pairs stand in a line."""
-    def pairs(i: Column) -> Column:
-        a, b = F.get(tokens, i), F.get(tokens, i + 1)
-        end = a["start"] + F.length(a["text"])
-        dashed = ((b["start"] == end) & (b["num1"] < 0)) | ((b["start"] == end + 1) & F.substring(text, end + 1, F.lit(1)).isin("-", "\u2013", "\u2212"))
-        return F.coalesce((a["type"] == "plain") & (b["type"] == "plain") & (a["num1"] >= 0) & dashed, F.lit(False))
-
-    def joined(t: Column, i: Column) -> Column:
-        b = F.get(tokens, i + 1)
-        whole = F.struct(
-            F.lit("meanSD").alias("type"), F.substring(text, t["start"] + 1, b["start"] + F.length(b["text"]) - t["start"]).alias("text"), t["num1"].alias("num1"), F.abs(b["num1"]).alias("num2"), t["dec1"].alias("dec1"),
-            b["dec1"].alias("dec2"), t["start"].alias("start"), t["x0"].alias("x0"), b["x1"].alias("x1"), ((t["x0"] + b["x1"]) / 2).alias("mid"),
-        )
-        return F.when(pairs(i), whole).when(~pairs(i - 1), t)
-
-    found = F.size(F.filter(tokens, lambda t, i: pairs(i)))
-    return F.when(found >= 2, F.filter(F.transform(tokens, joined), lambda t: t.isNotNull())).otherwise(tokens)
-
-
-def classified(lines: DataFrame) -> DataFrame:
-    """lines with `kind` (pre, stop, out, header, data or label), `foot`, the text of its footnotes, and tokens and texts as repaired.
-
-    A table ends at a footnote, at the next caption, or at prose: after the first data line a line of more than 8 words
-    without numbers or the third one in a row, before it the sixth. Cells of a table that announces mean - SD
-    are read so. A line whose only numbers are p values is a label, and so are up to three lines of numbers above the arm sizes.
-    """
-    text, tokens = F.col("text"), F.col("tokens")
-    raw = F.when(F.col("line_no") <= F.col("cap"), "pre").when(text.rlike(STOP) | text.rlike(CAPTION), "stop").when(text.rlike(ARM_SIZE), "header").when(F.size(tokens) > 0, "data").otherwise("label")
-    out = lines.withColumn("raw", raw).withColumn("seen", F.count_if(F.col("raw") == "data").over(_upto()))
-    label = F.col("raw") == "label"
-    in_a_row = F.count_if(label).over(W.partitionBy(*KEYS, "seen").orderBy("line_no").rowsBetween(_BEFORE, _NOW))
-    out = out.withColumn("in_a_row", in_a_row)
-    prose = label & F.when(F.col("seen") > 0, (F.size("boxes") > PROSE_WORDS) | (F.col("in_a_row") >= PROSE_AFTER)).otherwise(F.col("in_a_row") >= PROSE_BEFORE)
-    out = out.withColumns({"end": F.min(F.when((F.col("raw") == "stop") | prose, F.col("line_no"))).over(_whole()), "dashed": F.bool_or(text.rlike(DASHED)).over(_whole())})
-    noted = F.bool_or((F.col("line_no") == F.col("end")) & (F.col("raw") == "stop")).over(_whole()) & F.col("line_no").between(F.col("end"), F.col("end") + FOOT_LINES)
-    foot = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.when(F.col("noted"), F.struct("line_no", "text"))).over(_whole())), lambda x: x["text"]))
-    kind = F.when(F.col("end").isNull() | (F.col("line_no") < F.col("end")), F.col("raw")).when(F.col("line_no") == F.col("end"), "stop").otherwise("out")
-    out = out.withColumn("noted", noted).withColumn("foot", foot).withColumn("kind", F.when(F.col("raw") == "pre", "pre").otherwise(kind))
-    out = out.withColumn("tokens", F.when(F.col("dashed") & (F.col("kind") == "data"), dash_pairs(text, tokens)).otherwise(tokens))
-    # a label whose only numbers are p values
-    lead = squish(F.substring(text, F.lit(1), F.get("tokens", F.lit(0))["start"]))
-    small = F.forall("tokens", lambda t: (t["type"] == "plain") & t["num1"].isNotNull() & (F.abs(t["num1"]) < 1))
-    p_only = (F.col("kind") == "data") & (F.length(lead) >= 4) & small
-    none = F.filter("tokens", lambda t: F.lit(False))
-    out = out.withColumn("p_only", p_only).withColumns({"text": F.when(F.col("p_only"), lead).otherwise(text), "kind": F.when(F.col("p_only"), "label").otherwise(F.col("kind"))})
-    # numbers above the arm sizes
-    out = out.withColumn("first_header", F.min(F.when(F.col("kind") == "header", F.col("line_no"))).over(_whole()))
-    above = (F.col("kind") == "data") & (F.col("line_no") < F.col("first_header"))
-    early = above & (F.col("first_header") - F.col("cap") <= HEAD_LINES) & (F.count_if(above).over(_whole()) <= HEAD_NUMBERS)
-    out = out.withColumn("early", F.coalesce(early, F.lit(False)))
-    out = out.withColumns({"kind": F.when(F.col("early"), "label").otherwise(F.col("kind")), "tokens": F.when(F.col("early") | F.col("p_only"), none).otherwise(F.col("tokens"))})
-    return out.withColumn("first_data", F.min(F.when(F.col("kind") == "data", F.col("line_no"))).over(_whole())).drop("raw", "seen", "in_a_row", "end", "dashed", "noted", "p_only", "early")
-
-
-def nearest(centers: Column, x: Column) -> Column:
-    """Index of the nearest centre, the first of equally near ones."""
-    return F.array_min(F.transform(centers, lambda c, i: F.struct(F.abs(c - x).alias("d"), i.alias("i"))))["i"]
-
-
-def with_columns(lines: DataFrame) -> DataFrame:
-    """Classified lines of blocks that have data, with the `centers` of their columns."""
-    cells = lines.filter("kind = 'data'").select(*KEYS, F.explode("tokens.mid").alias("mid"))
-    centers = cluster_columns(cells, KEYS, COLUMN_GAP).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "center"))), lambda c: c["center"]).alias("centers"))
-    return lines.join(centers, KEYS)
-
-
-def header_sizes(lines: DataFrame) -> DataFrame:
-    """doc, block, col, n: the first size that header lines print nearest to a column."""
-    hits = lines.filter("kind = 'header'").select(*KEYS, "line_no", "boxes", "centers", F.explode(offsets(F.col("text"), ARM_SIZE)).alias("hit"))
-    x0, x1 = span(F.col("boxes"), F.col("hit.start"), F.col("hit.start") + F.length("hit.text"))
-    hits = hits.select(*KEYS, nearest(F.col("centers"), (x0 + x1) / 2).alias("col"), F.struct("line_no", "hit.start").alias("at"), F.regexp_replace("hit.text", "\\D", "").try_cast("int").alias("n"))
-    return hits.filter("n is not null").groupBy(*KEYS, "col").agg(F.min_by("n", "at").alias("n"))
-
-
-def header_names(lines: DataFrame) -> DataFrame:
-    """doc, block, col, name: the words above a column, between the first line of arm sizes, if there is one, and the data.
-
-    A word counts if it stands nearer to a column's centre than 3 / 4 of the least distance of two centres.
-    """
-    head = lines.filter(F.col("kind").isin("header", "label") & (F.col("line_no") > F.col("cap")) & (F.col("line_no") < F.col("first_data")) & F.coalesce(F.col("line_no") >= F.col("first_header"), F.lit(True)))
-    gaps = F.transform(F.slice("centers", F.lit(2), F.size("centers")), lambda c, i: c - F.get("centers", i))
-    words = head.select(*KEYS, "line_no", "centers", F.coalesce(F.array_min(gaps) * 0.75, F.lit(100.0)).alias("reach"), F.posexplode("boxes").alias("k", "b"))
-    mid = (F.col("b.x0") + F.col("b.x1")) / 2
-    words = words.withColumn("col", nearest(F.col("centers"), mid)).filter(F.abs(F.get("centers", F.col("col")) - mid) < F.col("reach"))
-    in_order = lambda a, b: F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda x: x[b]))
-    texts = words.select(*KEYS, "col", "line_no", "k", F.col("b.text").alias("word")).groupBy(*KEYS, "col", "line_no").agg(in_order("k", "word").alias("t"))
-    texts = texts.withColumn("t", squish(F.regexp_replace("t", "(?i)\\(?\\s*n\\s*=\\s*\\d[\\d,]*\\s*\\)?", "")))
-    return texts.filter("t <> ''").groupBy(*KEYS, "col").agg(in_order("line_no", "t").alias("name"))
-
 
-def columns_of(lines: DataFrame) -> DataFrame:
-    """doc, block, col, name, header_n, cells, n_columns, is_p: every column, and whether it holds p values.
-
-    A column of p values says so, or more than half of its cells are numbers below 1 and it has no size.
+TOKENS = {"type": "string", "text": "string", "num1": "double", "num2": "double", "dec1": "int", "dec2": "int", "start": "int", "x0": "double", "x1": "double", "mid": "double"}
+LINES = {"line_no": "int", "text": "string", "kind": "string", "main": "string", "label": "string"}
+ARMS = {"col": "int", "arm_no": "int", "name": "string", "n": "int", "source": "string", "clusters": "int", "live": "boolean"}
+VARIABLES = {
+    "row_no": "int", "row": "string", "kind": "string", "arm_no": "int", "n": "int", "mean": "double", "sd": "double", "se": "double", "round_mean": "int", "round_dispersion": "int", "round_observation": "int",
+    "categories": "map<string,bigint>",
+}
+SKIPPED = {"line_no": "int", "label": "string", "reason": "string"}
+DERIVED = {"line_no": "int", "label": "string", "kind": "string", "note": "string"}
+_ARROW = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "map<string,bigint>": pa.map_(pa.string(), pa.int64())}
+#: Blocks that a worker reads at once.
+HELD = 500
+
+
+def _ddl(fields: dict[str, str]) -> str:
+    return f"array<struct<{','.join(f'{k}:{v}' for k, v in fields.items())}>>"
+
+
+SCHEMA = f"cap int, foot string, dispersion string, score bigint, lines {_ddl(LINES | {'tokens': _ddl(TOKENS)})}, arms {_ddl(ARMS)}, variables {_ddl(VARIABLES)}, skipped {_ddl(SKIPPED)}, derived {_ddl(DERIVED)}"
+
+
+def _nested(lists: list[list[tuple]], fields: dict[str, str], *more: tuple[str, pa.Array]) -> pa.Array:
+    """Lists of tuples as lists of structs; `more` are further fields, flat."""
+    offsets = [0]
+    for x in lists:
+        offsets.append(offsets[-1] + len(x))
+    columns = list(zip(*[row for x in lists for row in x])) or [()] * len(fields)
+    arrays = [pa.array(c, _ARROW[kind]) for c, kind in zip(columns, fields.values())]
+    names = [*fields, *[name for name, _ in more]]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([*arrays, *[a for _, a in more]], names=names))
+
+
+def _read(words: pa.Table, options: dict) -> pa.RecordBatch:
+    """Whole blocks of sorted words, `first` at each block's first one, as rows of SCHEMA."""
+    line_no, x, text, width = (words.column(c).to_pylist() for c in ("line_no", "x", "text", "width"))
+    starts = pc.indices_nonzero(words.column("first")).to_pylist()
+    heads = words.take(pa.array(starts, pa.int64())).combine_chunks()
+    filled = heads.column("filled").to_pylist() if "filled" in heads.column_names else repeat(None)
+    blocks, at = [], []
+    for i, (a, b, cap, f) in enumerate(zip(starts, [*starts[1:], len(x)], heads.column("cap").to_pylist(), filled)):
+        block = parse.Block(cap, line_no[a:b], x[a:b], text[a:b], width[a:b], {r["col"]: (r["n"], r["source"]) for r in f or ()}, **options)
+        if block.lines:
+            blocks.append(block)
+            at.append(i)
+    tokens = _nested([x.tokens for b in blocks for x in b.lines], TOKENS)
+    arms = [[(a.col, a.arm_no, a.name, a.n, a.source, len(b.arms), a.live or a.n is not None) for a in b.arms] for b in blocks]
+    out = {
+        **{k: heads.column(k).take(pa.array(at, pa.int32())).combine_chunks() for k in (*KEYS, "cap")}, "foot": pa.array([b.foot for b in blocks], pa.string()), "dispersion": pa.array([b.dispersion for b in blocks], pa.string()),
+        "score": pa.array([b.score for b in blocks], pa.int64()), "lines": _nested([[(x.line_no, x.text, x.kind, x.main, x.label) for x in b.lines] for b in blocks], LINES, ("tokens", tokens)), "arms": _nested(arms, ARMS),
+        "variables": _nested([b.variables for b in blocks], VARIABLES), "skipped": _nested([b.skipped for b in blocks], SKIPPED), "derived": _nested([b.derived for b in blocks], DERIVED),
+    }
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.values()], names=list(out))
+
+
+def parsed_blocks(words: DataFrame, filled: DataFrame | None = None, paren: str = "auto", approximate: bool = False, observation_delta: int = 1) -> DataFrame:
+    """A row for each block that has data, with all that parse.py reads from it, from words (doc, block, cap, line_no, word_no, text, x, width).
+
+    Words without a text or a place are left out. filled: doc, block, col, n, source. A window brings a block's words together, in
+    order, and shuffles only words that don't lie so already.
     """
-    cells = lines.filter("kind = 'data'").select(*KEYS, "centers", F.explode("tokens").alias("t")).withColumn("col", nearest(F.col("centers"), F.col("t.mid")))
-    like_p = F.col("t.type").isin("plain", "pctOnly") & F.coalesce(F.col("t.num1") < 1, F.lit(False))
-    facts = cells.groupBy(*KEYS, "col").agg(F.count(F.lit(1)).alias("cells"), F.avg(like_p.cast("int")).alias("like_p"))
-    each = lines.select(*KEYS, "centers").distinct().select(*KEYS, F.size("centers").alias("n_columns"), F.posexplode("centers").alias("col", "center"))
-    out = each.join(facts, [*KEYS, "col"], "left").join(header_sizes(lines).withColumnRenamed("n", "header_n"), [*KEYS, "col"], "left").join(header_names(lines), [*KEYS, "col"], "left")
-    is_p = (F.col("n_columns") >= 2) & (F.coalesce(F.col("name").rlike(P_COLUMN), F.lit(False)) | (F.coalesce(F.col("like_p") > 0.5, F.lit(False)) & F.col("header_n").isNull()))
-    return out.select(*KEYS, "col", "name", "header_n", F.coalesce("cells", F.lit(0)).alias("cells"), "n_columns", is_p.alias("is_p"))
-
-
-def cells_of(lines: DataFrame, columns: DataFrame) -> DataFrame:
-    """doc, block, line_no, col and the first token of every arm and data line."""
-    arms = columns.filter("not is_p").select(*KEYS, "col")
-    cells = lines.filter("kind = 'data'").select(*KEYS, "line_no", "centers", F.explode("tokens").alias("t")).withColumn("col", nearest(F.col("centers"), F.col("t.mid"))).drop("centers")
-    first = F.min_by("t", F.col("t.start"))
-    return cells.join(arms, [*KEYS, "col"]).groupBy(*KEYS, "line_no", "col").agg(first.alias("t"), F.min("t.start").alias("from"))
-
-
-def main_type(types: Column) -> Column:
-    """The most frequent type, the first by name of equally frequent ones."""
-    votes = F.transform(F.array_distinct(types), lambda t: F.struct((-F.size(F.filter(types, lambda x: x == t))).alias("n"), t.alias("t")))
-    return F.array_min(votes)["t"]
+    options = {"paren": paren, "approximate": approximate, "delta": observation_delta}
+    typed = words.select(*KEYS, *[F.col(c).cast(k).alias(c) for c, k in (("cap", "int"), ("line_no", "int"), ("word_no", "long"), ("x", "double"), ("width", "double"))], "text")
+    typed = typed.filter("text is not null and x is not null and width is not null and line_no is not null")
+    if filled is not None:
+        one = filled.groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.col("n").cast("int").alias("n"), "source")).alias("filled"))
+        typed = typed.join(one, KEYS, "left")
+    first = F.row_number().over(W.partitionBy(*KEYS).orderBy("line_no", "x", "word_no", "text")) == 1
+    once = lambda c: F.when(F.col("first"), F.col(c)).alias(c)
+    placed = typed.withColumn("first", first).select("first", *[once(c) for c in typed.columns if c in (*KEYS, "cap", "filled")], "line_no", "x", "text", "width")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # words of blocks that aren't whole yet
+        gc.disable()  # a block makes many small objects and no cycles
+        for batch in batches:
+            starts = pc.indices_nonzero(batch.column("first")).to_pylist()
+            # a batch ends within a block: all but its last one are whole
+            while starts:
+                cut = starts[-1] if len(starts) <= HELD else starts[HELD]
+                whole = pa.Table.from_batches([*held, batch.slice(0, cut)])
+                if whole.num_rows:
+                    yield _read(whole, options)
+                held, batch = [], batch.slice(cut)
+                starts = [s - cut for s in starts[HELD:]] if len(starts) > HELD else []
+            held.append(batch)
+        whole = pa.Table.from_batches(held) if held else None
+        if whole is not None and whole.num_rows:
+            yield _read(whole, options)
+
+    keys = ", ".join(f"{k} {words.schema[k].dataType.simpleString()}" for k in KEYS)
+    return placed.mapInArrow(read, f"{keys}, {SCHEMA}")
 
 
-def rows_of(lines: DataFrame, cells: DataFrame) -> DataFrame:
-    """doc, block, line_no, text, foot, raw_label, label, main: what every data line prints before its cells and which type most of its cells have."""
-    types = cells.groupBy(*KEYS, "line_no").agg(main_type(F.array_sort(F.collect_list("t.type"))).alias("main"), F.min("from").alias("from"))
-    rows = lines.filter("kind = 'data'").select(*KEYS, "line_no", "text", "foot").join(types, [*KEYS, "line_no"])
-    raw = F.substring(F.col("text"), F.lit(1), F.col("from"))
-    return rows.select(*KEYS, "line_no", "text", "foot", "main", raw.alias("raw_label"), clean_label(raw).alias("label"))
+class Parsed:
+    """The tables of parsed blocks: lines, arms, variables, skipped, derived, scores, dispersions.
 
+    Blocks are read once and written by `keep` (to the shared folder); every table is a part of that one.
+    """
 
-def is_size_row(rows: DataFrame) -> Column:
-    return rows["label"].rlike(SIZE_ROW) & (rows["main"] == "plain")
+    def __init__(self, words: DataFrame, filled: DataFrame | None = None, paren: str = "auto", approximate: bool = False, observation_delta: int = 1, keep=DataFrame.checkpoint):
+        self.blocks = keep(parsed_blocks(words, filled, paren, approximate, observation_delta))
 
+    def _part(self, name: str) -> DataFrame:
+        return self.blocks.select(*KEYS, F.inline(name))
 
-def arms_of(columns: DataFrame, cells: DataFrame, rows: DataFrame, filled: DataFrame | None = None) -> DataFrame:
-    """doc, block, col, arm_no, name, n, source, clusters: the arms, with sizes from the header, or from a row of sizes.
+    @property
+    def lines(self) -> DataFrame:
+        """doc, block, cap, line_no, text, kind, main, label, tokens; main and label of lines that an arm has a cell in."""
+        return self.blocks.select(*KEYS, "cap", F.inline("lines"))
 
-    Where no arm with data has a size in the header, printed n (%) cells derive sizes, and what they leave open comes from `filled`
-    (doc, block, col, n, source), such as the text's mentions. A row of sizes overrides all.
-    """
-    counts = cells.filter("t.type = 'nPct'").select(*KEYS, "col", F.col("t.num1").alias("count"), F.col("t.num2").alias("pct"), F.col("t.dec2").alias("dec"))
-    derived = derive_arm_n(counts, *KEYS, "col").join(counts.groupBy(*KEYS, "col").agg(F.count(F.lit(1)).alias("used")), [*KEYS, "col"])
-    sizes = rows.filter(is_size_row(rows)).select(*KEYS, "line_no").join(cells, [*KEYS, "line_no"]).groupBy(*KEYS, "col").agg(F.max_by(F.col("t.num1").cast("int"), F.col("line_no")).alias("row_n"))
-    arms = columns.filter("not is_p").join(derived, [*KEYS, "col"], "left").join(sizes, [*KEYS, "col"], "left")
-    if filled is not None:
-        arms = arms.join(filled.select(*KEYS, "col", F.col("n").alias("text_n"), F.col("source").alias("text_source")), [*KEYS, "col"], "left")
-    else:
-        arms = arms.withColumns({"text_n": F.lit(None).cast("int"), "text_source": F.lit(None).cast("string")})
-    open_ = F.coalesce(F.bool_and(F.when(F.col("cells") > 0, F.col("header_n").isNull())).over(_whole()), F.lit(False)) & (F.col("cells") > 0)
-    arms = arms.withColumn("open", open_)
-    given = F.coalesce("row_n", "header_n")
-    n = F.coalesce(given, F.when(F.col("open"), F.coalesce(F.col("arm_n").cast("int"), "text_n")))
-    noted = F.when(F.col("arm_n").isNotNull(), F.format_string("derived from %d printed n (%%) cell(s) of this arm", F.col("used"))).otherwise(F.col("text_source"))
-    number = F.row_number().over(_whole().orderBy("col")).cast("int")
-    return arms.select(*KEYS, "col", number.alias("arm_no"), "name", n.alias("n"), F.when(given.isNull() & F.col("open"), noted).alias("source"), F.count(F.lit(1)).over(_whole()).cast("int").alias("clusters"))
-
-
-def interpreted(lines: DataFrame, rows: DataFrame, cells: DataFrame, arms: DataFrame, paren: str = "auto", approximate: bool = False) -> DataFrame:
-    """rows with `reads` (continuous, fraction, binary, child or skip), `header`, `reason`, and `marks`, what each arm's cell is read as.
-
-    a (b) is mean (SD) or n (%) by `paren`, or else by its label, by the footnotes, and by whether the table prints plus-minus. Percentages
-    become counts where every arm's size and printed percentage leave one count, or by rounding if `approximate`.
-    A label line of up to six words heads the counts below it, until a row of another kind.
-    """
-    has_pm = lines.filter("kind = 'data'").groupBy(*KEYS).agg(F.bool_or(F.exists("tokens", lambda t: t["type"] == "meanSD")).alias("has_pm"))
-    rows = rows.filter(~is_size_row(rows)).join(has_pm, KEYS)
-    label, raw, foot = F.col("label"), F.col("raw_label"), F.col("foot")
-    by_label = raw.rlike("(?i)\\(%\\)|percent")
-    as_sd = ~by_label & (label.rlike(MEASURES) | foot.rlike(SAYS_MEAN_SD) | (~F.col("has_pm") & ~foot.rlike(SAYS_COUNT_PCT)))
-    sd = {"sd": F.lit(True), "percent": F.lit(False)}.get(paren, as_sd)
-    printed = F.when(F.col("main") == "numParen", F.when(sd, "meanSD").otherwise("nPct")).otherwise(F.col("main"))
-    rows = rows.withColumn("printed", printed)
-    heads = lines.filter((F.col("kind") == "label") & (F.col("line_no") > F.col("first_data")) & (F.size("boxes") <= 6)).select(*KEYS, "line_no", clean_label(F.col("text")).alias("head"), F.col("text").rlike(SAYS_PCT).alias("head_pct")).filter("head <> ''")
-    # the header in force is the last event: a label sets it, a row of another kind clears it
-    event = F.when(F.col("head").isNotNull(), F.struct("head", "head_pct")).when(F.col("printed").isin("meanSD", "fraction", "nPct"), F.struct(F.lit(None).cast("string").alias("head"), F.lit(False).alias("head_pct")))
-    both = rows.unionByName(heads, allowMissingColumns=True).withColumn("event", event)
-    both = both.withColumn("force", F.last("event", ignorenulls=True).over(_upto(-1))).filter("printed is not null")
-    rows = both.select(*rows.columns, F.col("force.head").alias("header"), F.coalesce("force.head_pct", F.lit(False)).alias("header_pct"))
-    says = raw.rlike(SAYS_PCT)
-    genre = (F.col("printed") == "pctOnly") | ((F.col("printed") == "plain") & ((F.col("header").isNotNull() & F.col("header_pct")) | says))
-    t = F.col("t")
-    joined = cells.join(arms.select(*KEYS, "col", "arm_no", "n"), [*KEYS, "col"])
-    usable = t["type"].isin("pctOnly", "plain")
-    exact = F.when(usable, count_from_pct(t["num1"], t["dec1"], F.col("n")))
-    rough = F.when(usable & F.col("n").isNotNull() & t["num1"].between(0, 100), approximate_count(t["num1"], F.col("n"))) if approximate else F.lit(None).cast("long")
-    mark = F.struct("arm_no", "n", "t", exact.alias("exact"), F.coalesce(exact, rough).alias("counted"))
-    marks = joined.groupBy(*KEYS, "line_no").agg(F.array_sort(F.collect_list(mark), lambda a, b: a["arm_no"] - b["arm_no"]).alias("marks"))
-    rows = rows.join(marks, [*KEYS, "line_no"]).withColumn("genre", genre)
-    done = F.forall("marks", lambda m: m["counted"].isNotNull())
-    rows = rows.withColumn("converted", F.col("genre") & done).withColumn("unique", F.forall("marks", lambda m: m["exact"].isNotNull()))
-    reads = (
-        F.when(F.col("main") == "medianRng", "skip").when(F.col("genre") & ~F.col("converted"), "skip").when(F.col("converted"), F.when(F.col("header").isNotNull(), "child").otherwise("binary"))
-        .when(F.col("printed") == "meanSD", "continuous").when(F.col("printed") == "fraction", "fraction").when(F.col("printed") == "nPct", "binary").when(F.col("header").isNotNull(), "child").otherwise("skip")
-    )
-    reason = F.when(F.col("main") == "medianRng", MEDIAN_SKIP).when(F.col("genre") & ~F.col("converted"), PERCENT_SKIP).otherwise(BARE_SKIP)
-    short = clean_label(F.regexp_replace(label, "(?i)\\s*[,;]?\\s*\\(?\\s*(%|percent(age)?s?)\\s*\\)?\\s*$", ""))
-    rows = rows.withColumns({"reads": reads, "label": F.when(F.col("converted"), short).otherwise(label)})
-    return rows.withColumn("reason", F.when(F.col("reads") == "skip", reason))
-
-
-def numbered(name: Column, order: W) -> Column:
-    """A name, with 2, 3 and so on where it stood before."""
-    k = F.row_number().over(order)
-    return F.when(k == 1, name).otherwise(F.concat_ws(" ", name, k.cast("string")))
-
-
-def part_names(raw: Column, label: Column, n: Column) -> tuple[Column, Column]:
-    """Names of the n parts of a fraction, from (M/F) or a trailing A/B of its label, and the label without them."""
-    inside, behind = "\\(([^()]*/[^()]*)\\)", "[A-Za-z]+(?:\\s*/\\s*[A-Za-z]+)+\\s*[,:]?\\s*$"
-    listed = F.when(raw.rlike(inside), F.regexp_extract(raw, inside, 1)).when(raw.rlike(behind), F.regexp_replace(F.regexp_extract(raw, behind, 0), "[\\s,:]+$", ""))
-    rest = F.when(raw.rlike(inside), clean_label(F.regexp_replace(raw, inside, ""))).when(raw.rlike(behind), clean_label(F.regexp_replace(raw, behind, ""))).otherwise(label)
-    names, sexes = F.split(squish(listed), "\\s*/\\s*"), rest.rlike("(?i)sex|gender") & (n == 2)
-    own = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat_ws(" ", rest, i.cast("string")))
-    names = F.when(names.isNotNull() & (F.size(names) == n), names).when(sexes, F.array(F.lit("Male"), F.lit("Female"))).otherwise(own)
-    spelt = lambda p: F.when(sexes & F.upper(p).isin("M", "MALE"), "Male").when(sexes & F.upper(p).isin("F", "FEMALE"), "Female").otherwise(p)
-    full = lambda p: F.when((F.length(p) <= 3) & ~p.isin("Male", "Female"), F.concat_ws(" ", rest, p)).otherwise(p)
-    return F.transform(names, lambda p: full(spelt(p))), rest
-
-
-def variables_of(rows: DataFrame, arms: DataFrame, observation_delta: int = 1) -> DataFrame:
-    """doc, block, row_no, row, kind, arm_no, n, mean, sd, se, round_mean, round_dispersion, round_observation, categories: a line per variable and arm.
-
-    The dispersion is an SE where the row, or else only the footnotes, say so. An n (%) row has its complement where all sizes are known.
-    Names that repeat in a block are numbered.
-    """
-    known = arms.groupBy(*KEYS).agg(F.bool_and(F.col("n").isNotNull()).alias("all_n"))
-    rows = rows.filter("reads <> 'skip'").join(known, KEYS)
-    parts = lambda m: F.split(F.regexp_replace(m["t"]["text"], "\\s", ""), "/")
-    n_parts = F.array_max(F.transform("marks", lambda m: F.when(m["t"]["type"] == "fraction", F.size(parts(m))).otherwise(0)))
-    names, rest = part_names(F.col("raw_label"), F.col("label"), n_parts)
-    rows = rows.withColumns({"names": F.when(F.col("reads") == "fraction", names), "label": F.when(F.col("reads") == "fraction", rest).otherwise(F.col("label"))})
-    labelled = lambda other: F.when(F.length("label") > 0, F.col("label")).otherwise(F.lit(other))
-    counted = F.col("reads").isin("binary", "child")
-    rows = rows.withColumn("base", F.when(F.col("reads") == "continuous", labelled("Unnamed")).otherwise(labelled("Category")))
-    rows = rows.withColumn("category", F.when(counted, numbered(F.col("base"), W.partitionBy(*KEYS, counted, "base").orderBy("line_no"))))
-    # children of equal headers are one variable
-    rows = rows.withColumn("variable", F.when(F.col("reads") == "child", F.concat(F.lit("h:"), F.col("header"))).otherwise(F.concat(F.lit("l:"), F.col("line_no").cast("string"))))
-    rows = rows.withColumn("base", F.when(F.col("reads") == "child", F.col("header")).when(F.col("reads") == "binary", F.col("category")).otherwise(F.col("base")))
-    first = rows.groupBy(*KEYS, "variable").agg(F.min("line_no").alias("row_no"), F.min_by("base", "line_no").alias("base"))
-    first = first.select(*KEYS, "variable", "row_no", numbered(F.col("base"), W.partitionBy(*KEYS, "base").orderBy("row_no")).alias("row"))
-    raw, foot = F.col("raw_label"), F.col("foot")
-    se = F.when(raw.rlike(SAYS_SD), False).when(raw.rlike(SAYS_SE), True).otherwise(foot.rlike(SAYS_SE) & ~foot.rlike(SAYS_SD))
-    cells = rows.withColumn("is_se", se).select(*KEYS, "variable", "line_no", "reads", "names", "category", "converted", "is_se", "all_n", F.explode("marks").alias("m")).filter(
-        F.when(F.col("reads") == "continuous", F.col("m.t.type").isin("meanSD", "numParen")).when(F.col("reads") == "fraction", F.col("m.t.type") == "fraction").otherwise(True)
-    )
-    count = F.when(F.col("converted"), F.col("m.counted")).otherwise(F.col("m.t.num1").cast("long"))
-    pair = lambda k, v: F.struct(k.alias("k"), v.cast("long").alias("v"))
-    halves = F.array(pair(F.col("category"), count), pair(F.concat(F.lit("Not "), F.col("category")), F.col("m.n") - count))
-    entries = (
-        F.when(F.col("reads") == "fraction", F.transform(parts(F.col("m")), lambda c, i: pair(F.get("names", i), c)))
-        .when((F.col("reads") == "binary") & F.col("all_n"), halves).when(F.col("reads").isin("binary", "child"), F.array(pair(F.col("category"), count)))
-    )
-    one = F.when(F.col("reads") == "continuous", F.struct("m.n", F.col("m.t.num1").alias("mean"), F.when(~F.col("is_se"), F.col("m.t.num2")).alias("sd"), F.when(F.col("is_se"), F.col("m.t.num2")).alias("se"), F.col("m.t.dec1").alias("round_mean"), F.col("m.t.dec2").alias("round_dispersion"), (F.col("m.t.dec1") + observation_delta).alias("round_observation")))
-    out = cells.select(*KEYS, "variable", "line_no", "reads", F.col("m.arm_no").alias("arm_no"), one.alias("one"), entries.alias("entries"))
-    merged = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "entries"))), lambda x: x["entries"]))
-    out = out.groupBy(*KEYS, "variable", "arm_no").agg(F.first("reads").alias("reads"), F.first("one").alias("one"), F.when(F.first("reads") != "continuous", merged).alias("entries"))
-    kind = F.when(F.col("reads") == "continuous", "continuous").otherwise("category")
-    return out.join(first, [*KEYS, "variable"]).select(*KEYS, "row_no", "row", kind.alias("kind"), "arm_no", "one.*", F.map_from_entries("entries").alias("categories"))
-
-
-def derived_cells(rows: DataFrame, arms: DataFrame) -> DataFrame:
-    """doc, block, line_no, label, kind (unique or approximate), note: counts that percentages gave."""
-    def note(m: Column) -> Column:
-        args = (F.regexp_replace(m["t"]["text"], "[%\\s]", ""), m["n"], m["counted"])
-        sure, rough = "%s%% of N=%d -> %d (uniquely pinned)", "APPROXIMATE: %s%% of N=%d -> round() = %d (not uniquely pinned)"
-        return F.when(m["exact"].isNotNull(), F.format_string(sure, *args)).otherwise(F.format_string(rough, *args))
-
-    return rows.filter("converted").select(*KEYS, "line_no", "label", F.when(F.col("unique"), "unique").otherwise("approximate").alias("kind"), F.concat_ws("; ", F.transform("marks", note)).alias("note"))
-
-
-def skipped_of(rows: DataFrame, arms: DataFrame) -> DataFrame:
-    """doc, block, line_no, label, reason: what can't be used, and n (%) rows without all sizes."""
-    known = arms.groupBy(*KEYS).agg(F.bool_and(F.col("n").isNotNull()).alias("all_n"))
-    rows = rows.join(known, KEYS)
-    reason = F.coalesce("reason", F.when((F.col("reads") == "binary") & ~F.col("all_n"), COUNT_SKIP))
-    return rows.withColumn("reason", reason).filter("reason is not null").select(*KEYS, "line_no", "label", "reason")
-
-
-def dispersion(foot: Column) -> Column:
-    """What a table's footnotes say its dispersions are."""
-    se, sd = foot.rlike(SAYS_SE), foot.rlike(SAYS_SD)
-    return F.when(se & ~sd, "se (stated)").when(sd & ~se, "sd (stated)").when(se & sd, "mixed (per row)").otherwise("sd (assumed - table does not say)")
-
-
-def live_arms(arms: DataFrame, variables: DataFrame) -> DataFrame:
-    """Arms that have a size or a cell."""
-    used = variables.select(*KEYS, "arm_no").distinct().withColumn("used", F.lit(True))
-    return arms.join(used, [*KEYS, "arm_no"], "left").filter("used or n is not null").drop("used")
-
-
-def scores(variables: DataFrame, arms: DataFrame, skipped: DataFrame) -> DataFrame:
-    """doc, block, score of every block that has variables: what makes it likely to be the baseline table, read right.
-
-    3 a size in the table, 2 a continuous variable, 1 a category, 2 for two arms or more, 2 a demographic name (three at most), less 2
-    a skipped line (but for percentages), 1 an unnamed row, and 1 a column beyond six.
-    """
-    one = lambda c: F.when(c, 1).otherwise(0)
-    by_row = variables.groupBy(*KEYS, "row").agg(F.max(one(F.col("mean").isNotNull())).alias("cont"))
-    named = by_row.groupBy(*KEYS).agg(
-        F.sum("cont").alias("cont"), F.sum(1 - F.col("cont")).alias("cat"), F.sum(one(F.col("row").rlike(DEMOGRAPHIC))).alias("demo"), F.sum(one(F.col("row").startswith("Unnamed"))).alias("unnamed")
-    )
-    arm = live_arms(arms, variables).groupBy(*KEYS).agg(F.sum(one(F.col("n").isNotNull() & F.col("source").isNull())).alias("sized"), F.count(F.lit(1)).alias("arms"), F.max("clusters").alias("clusters"))
-    hard = skipped.filter(~F.col("reason").contains("unique count")).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("skips"))
-    score = (
-        3 * F.col("sized") + 2 * F.col("cont") + F.col("cat") + 2 * one(F.col("arms") >= 2) + 2 * F.least(F.col("demo"), F.lit(3)) - 2 * F.coalesce("skips", F.lit(0)) - F.col("unnamed") - F.greatest(F.lit(0), F.col("clusters") - 6)
-    )
-    return named.join(arm, KEYS).join(hard, KEYS, "left").select(*KEYS, score.cast("long").alias("score"))
+    @property
+    def all_arms(self) -> DataFrame:
+        return self._part("arms").drop("live")
 
+    @property
+    def arms(self) -> DataFrame:
+        """Arms that have a size or a cell."""
+        return self._part("arms").filter("live").drop("live")
 
-class Parsed:
-    """The tables of parsed blocks: lines, columns, arms, rows, variables, skipped, derived, scores.
+    @property
+    def variables(self) -> DataFrame:
+        return self._part("variables")
 
-    Every table that several others read is written once by `keep` (a checkpoint in the shared folder), so that it isn't
-    computed again for each and plans stay small.
-    """
+    @property
+    def skipped(self) -> DataFrame:
+        return self._part("skipped")
 
-    def __init__(self, words: DataFrame, filled: DataFrame | None = None, paren: str = "auto", approximate: bool = False, observation_delta: int = 1, keep=DataFrame.checkpoint):
-        self.lines = keep(with_columns(keep(classified(keep(lines_of(words))))))
-        self.columns = keep(columns_of(self.lines))
-        self.cells = keep(cells_of(self.lines, self.columns))
-        plain = keep(rows_of(self.lines, self.cells))
-        self.all_arms = keep(arms_of(self.columns, self.cells, plain, filled))
-        self.rows = keep(interpreted(self.lines, plain, self.cells, self.all_arms, paren, approximate))
-        self.variables = keep(variables_of(self.rows, self.all_arms, observation_delta))
-        self.skipped = skipped_of(self.rows, self.all_arms)
-        self.derived = derived_cells(self.rows, self.all_arms)
-        self.arms = live_arms(self.all_arms, self.variables)
+    @property
+    def derived(self) -> DataFrame:
+        return self._part("derived")
 
     @property
     def scores(self) -> DataFrame:
-        return scores(self.variables, self.all_arms, self.skipped)
+        """doc, block, score of every block that has variables."""
+        return self.blocks.filter("score is not null").select(*KEYS, "score")
 
     @property
     def dispersions(self) -> DataFrame:
-        return self.lines.select(*KEYS, "foot").distinct().select(*KEYS, dispersion(F.col("foot")).alias("dispersion"))
+        return self.blocks.select(*KEYS, "dispersion")

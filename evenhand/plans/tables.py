@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import armn, blocks, candidates, outputs, review
-from .bridge import half_up, kept, printed, table
+from .bridge import by_document, half_up, kept, printed, table
 from .queries import query
 
 #: Where the arms of flags A, N and R stand.
@@ -32,21 +32,25 @@ def facts(s: SparkSession, d: str) -> DataFrame:
     return g.select("part", "flag", "n", mean("qs").alias("qm"), sd("qs", "qq").alias("qd"), mean("ts").alias("tm"), sd("ts", "tt").alias("td"), "open", "first", "early", F.floor(100.0 * F.col("early") / F.col("n") + 0.5).alias("pct"))
 
 
+def _cells(*cells) -> Column:
+    """Cells (line_no, x, text) as an array."""
+    return F.array(*[F.struct(F.lit(k).alias("line_no"), F.lit(x).alias("x"), F.lit(text).alias("text")) for k, x, text in cells])
+
+
 def printed_tables(s: SparkSession, d: str) -> DataFrame:
-    f = facts(s, d)
+    f = by_document(facts(s, d).withColumn("doc", F.col("part").cast("string")), "doc")
     n = F.col("n").cast("string")
     pct = half_up(100.0 * F.col("open") / F.col("n"), 1)
+    place = F.element_at(F.create_map(*[F.lit(x) for kv in PLACES.items() for x in kv]), F.col("flag"))
     cells = (
         (2, F.format_string("Arm %s (n = %s)", F.col("flag"), n)), (3, F.format_string("%.1f ± %.1f", "qm", "qd")), (4, F.format_string("%.1f (%.1f)", "tm", "td")), (5, F.format_string("%d (%.1f%%)", F.col("open"), pct)),
         (6, F.format_string("%d/%d", F.col("open"), F.col("n") - F.col("open"))), (8, F.col("first").cast("string")), (9, n), (10, F.format_string("%d%%", F.col("pct").cast("long"))),
         (11, F.format_string("%.1f [1-50]", "qm")),
     )
-    place = F.element_at(F.create_map(*[F.lit(x) for kv in PLACES.items() for x in kv]), F.col("flag"))
-    values = f.select("part", place.alias("x"), F.explode(F.array(*[F.struct(F.lit(k).alias("line_no"), c.alias("text")) for k, c in cells])).alias("c")).select("part", "x", "c.*")
     labels = ((1, "Table 1 Baseline characteristics"), (3, "Quantity, units"), (4, "Tax rate"), (5, "Open orders"), (6, "Status (O/F)"), (7, "Line"), (8, "First"), (9, "Later"), (10, "Early lines"), (11, "Median quantity"), (12, "Values are mean ± SD"), (13, "Quantity 1.0 ± 2.0"))
-    left = f.select("part").distinct().select("part", F.lit(72.0).alias("x"), F.explode(F.array(*[F.struct(F.lit(k).alias("line_no"), F.lit(t).alias("text")) for k, t in labels])).alias("c")).select("part", "x", "c.*")
-    cells_ = values.unionByName(left).select(F.col("part").cast("string").alias("doc"), F.lit("t").alias("block"), F.lit(1).alias("cap"), "line_no", "x", "text")
-    return printed(cells_, ["doc", "block", "cap"])
+    own, left = _cells(*[(k, place, c) for k, c in cells]), _cells(*[(k, 72.0, t) for k, t in labels])
+    each = f.select("doc", F.explode(F.when(F.col("leads"), F.concat(own, left)).otherwise(own)).alias("c"))
+    return printed(each.select("doc", F.lit("t").alias("block"), F.lit(1).alias("cap"), "c.*"), ["doc", "block", "cap"])
 
 
 def parsed(s: SparkSession, d: str) -> blocks.Parsed:
@@ -80,8 +84,7 @@ def blk07(s, d):
 
 @query("blk13_main_types", "WITH " + FACTS_SQL + " SELECT part, k.line_no, k.main, k.label FROM (SELECT DISTINCT part FROM f), (VALUES (3, 'meanSD', 'Quantity, units'), (4, 'numParen', 'Tax rate'), (5, 'nPct', 'Open orders'), (6, 'fraction', 'Status (O/F)'), (8, 'plain', 'First'), (9, 'plain', 'Later'), (10, 'pctOnly', 'Early lines'), (11, 'medianRng', 'Median quantity')) k(line_no, main, label)")
 def blk13(s, d):
-    p = parsed(s, d)
-    return _part(blocks.rows_of(p.lines, p.cells)).select("part", "line_no", "main", "label")
+    return _part(parsed(s, d).lines.filter("main is not null")).select("part", "line_no", "main", "label")
 
 
 @query("blk15_continuous_rows", f"""WITH {FACTS_SQL} SELECT part, 'Quantity, units' AS variable, arm_no, CAST(n AS INTEGER) AS n, qm AS mean, qd AS sd, CAST(1 AS INTEGER) AS round_mean, CAST(2 AS INTEGER) AS round_observation FROM f

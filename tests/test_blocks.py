@@ -128,3 +128,11 @@ def test_options(spark):
     assert [x["categories"]["Male sex"] for x in q.rows("doubt")["Male sex"]] == [330, 341] and q.of("derived", "doubt", "kind") == [("approximate",)]
     assert {r["kind"] for r in q.variables if r["doc"] == "paren"} == {"category"}
     assert q.of("arms", "open", "n", "source") == [(None, None), (33, "text")] and q.rows("open")["Age"][0]["round_observation"] == 1
+
+
+def test_blocks_are_written_once(spark):
+    written = []
+    cells = [("d", "b", 1, n, x, text) for n, x, text in ((1, LEFT, "Table 1"), (2, ARMS[0], "(n = 20)"), (3, LEFT, "Low"), (3, ARMS[0], "5 (25%)"), (4, LEFT, "Low"), (4, ARMS[0], "4 (20%)"))]
+    words = printed(spark.createDataFrame(cells, "doc string, block string, cap int, line_no int, x double, text string"), ["doc", "block", "cap"])
+    p = blocks.Parsed(words, keep=lambda df: written.append(df.columns) or kept(df))
+    assert len(p.lines.collect()) == 4 and len(p.arms.collect()) == 1 and len(p.variables.collect()) == 2 and len(p.scores.collect()) == 1 and len(written) == 1

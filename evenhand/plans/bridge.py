@@ -42,13 +42,16 @@ def half_up(x: Column, digits: int) -> Column:
 
 def continuous_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trial: a part; arms: return flags; variables: quantity, discount and tax of its items (in hundredths but for quantity)."""
-    items = table(spark, sf_dir, "lineitem")
-    pairs = F.array(*[F.struct(F.lit(k).alias("row"), F.floor(F.col(c) * (1 if k == "quantity" else 100) + 0.5).alias("v")) for k, c in VARIABLES.items()])
-    long = items.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("trial"), F.col("l_returnflag").alias("arm"), F.explode(pairs).alias("x")).select("trial", "arm", "x.*")
-    g = long.groupBy("trial", "row", "arm").agg(F.count(F.lit(1)).alias("c"), F.sum("v").cast("double").alias("s"), F.sum(F.col("v") * F.col("v")).cast("double").alias("ss"))
+    # an arm's sums of all variables are one row until they are whole, and a trial's lines lie together from there on
+    whole = lambda k, c: F.floor(F.col(c) * (1 if k == "quantity" else 100) + 0.5)
+    sums = [f(whole(k, c)).cast("double").alias(f"{a}_{k}") for k, c in VARIABLES.items() for a, f in (("s", F.sum), ("ss", lambda v: F.sum(v * v)))]
+    arms = table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.col("l_returnflag").alias("arm")).agg(F.count(F.lit(1)).alias("c"), *sums).filter("c > 1")
+    arms = arms.withColumn("trial", F.concat(F.lit("P"), F.col("l_partkey").cast("string"))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "trial")
+    each = F.array(*[F.struct(F.lit(k).alias("row"), F.col(f"s_{k}").alias("s"), F.col(f"ss_{k}").alias("ss")) for k in VARIABLES])
+    g = arms.select("trial", "arm", "c", F.explode(each).alias("x")).select("trial", "arm", "c", "x.*")
     n = F.col("c").cast("double")
     var = (F.col("ss") - F.col("s") * F.col("s") / n) / F.when(n > 1, n - 1)
-    return g.filter("c > 1").select(
+    return g.select(
         F.ascii("arm").cast("long").alias("line_no"), "trial", "row", F.col("c").cast("int").alias("n"), half_up(F.col("s") / n, 1).alias("mean"),
         half_up(F.sqrt(F.greatest(var, F.lit(0.0))), 1).alias("sd"), *[F.lit(None).cast("double").alias(c) for c in ("se", "q1", "q3")],
         F.lit(1).alias("round_mean"), F.lit(None).cast("int").alias("round_dispersion"), F.lit(0).alias("round_observation"), F.expr("cast(null as map<string,bigint>)").alias("categories"),

@@ -69,13 +69,19 @@ def unique_suffix(keys: DataFrame, names: DataFrame) -> DataFrame:
 def by_doi(texts: DataFrame, known: DataFrame) -> DataFrame:
     """doc, item: the item whose DOI a text prints, or the one item whose DOI begins so.
 
-    texts: doc, doi; known: item, doi. Prefixes of known DOIs from the registrant on are the join key.
+    texts: doc, doi; known: item, doi. Prefixes of known DOIs from the registrant on are the join key. A key that several items
+    share, as all do the registrant, is one row with its least and greatest item, so no key outgrows a task.
     """
-    exact = texts.join(known, "doi").groupBy("doc").agg(F.count_distinct("item").alias("n"), F.min("item").alias("item")).filter("n = 1").select("doc", "item")
+    ends = lambda lo, hi: (F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+
+    def only(texts: DataFrame, keys: DataFrame) -> DataFrame:
+        hit = texts.join(keys.groupBy("doi").agg(*ends("item", "item")), "doi").groupBy("doc").agg(*ends("lo", "hi"))
+        return hit.filter("lo = hi").select("doc", F.col("lo").alias("item"))
+
+    exact = only(texts, known)
     rest = texts.join(exact, "doc", "left_anti")
     starts = known.select("item", F.explode(F.transform(F.sequence(F.lit(9), F.length("doi")), lambda n: F.substring(F.col("doi"), F.lit(1), n))).alias("doi"))
-    near = rest.join(starts, "doi").groupBy("doc").agg(F.count_distinct("item").alias("n"), F.min("item").alias("item")).filter("n = 1").select("doc", "item")
-    return exact.unionByName(near)
+    return exact.unionByName(only(rest, starts))
 
 
 def by_one_id(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -37,22 +37,23 @@ def bag_overlap(left: Column, right: Column) -> Column:
 def title_matches(pages: DataFrame, titles: DataFrame, near: float = 0.6, accept: float = 0.75, margin: float = 0.15) -> DataFrame:
     """page, title, score, runner_up, accepted: the title whose bag a page holds best.
 
-    pages: page, bag; titles: title, bag. A pair of score `near` shares a word among the rarest
-    size - ceil(near * size) + 1 of its title, so an inverted index of those words alone finds all pairs, and common words
-    bring none together. The index goes down to accept - margin, so that every runner-up that matters is met; one below
-    that counts as 0.
+    pages: page, bag; titles: title, bag. A pair of score `near` shares a word among any
+    size - ceil(near * size) + 1 of its title, so an inverted index of the words that the fewest titles hold finds all pairs, and common
+    words bring none together. The index goes down to accept - margin, so that every runner-up that matters is met; one below
+    that counts as 0. Pages are read once: only their words that some title holds go on, and scores come from these.
     """
     low = min(near, accept - margin)
     known = titles.select("title", F.array_distinct("bag").alias("bag")).withColumn("size", F.size("bag")).filter("size > 0")
-    frequent = pages.select(F.explode(F.array_distinct("bag")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    words = known.select("title", "size", F.explode("bag").alias("word")).join(frequent, "word")  # a word no page has finds nothing
-    held = F.count(F.lit(1)).over(W.partitionBy("title"))
+    words = known.select("title", "size", F.explode("bag").alias("word"))
+    frequent = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(W.partitionBy("title").orderBy("df", "word"))
-    # absent words are the rarest of all and take places of the prefix
-    need = F.col("size") - F.ceil(F.lit(low) * F.col("size") - 1e-9) + 1 - (F.col("size") - F.col("held"))
-    rare = words.withColumns({"held": held, "rank": rank}).filter(F.col("rank") <= need).select("title", "word")
-    met = pages.select("page", F.explode(F.array_distinct("bag")).alias("word")).join(rare, "word").select("page", "title").distinct()
-    scored = met.join(known, "title").join(pages.select("page", F.col("bag").alias("held")), "page").select("page", "title", (F.size(F.array_intersect("bag", "held")) / F.col("size")).alias("score"))
+    rare = words.join(frequent, "word").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.ceil(F.lit(low) * F.col("size") - 1e-9) + 1).select("title", "word")
+    # rows that repeat a page are told apart
+    numbered = pages.select("page", "bag", F.monotonically_increasing_id().alias("copy"))
+    hits = numbered.select("page", "copy", F.explode(F.array_distinct("bag")).alias("word")).join(frequent.select("word"), "word")
+    held = hits.groupBy("page", "copy").agg(F.collect_list("word").alias("held"))
+    met = held.select("page", "copy", "held", F.explode("held").alias("word")).join(rare, "word").join(known, "title")
+    scored = met.select("page", "copy", "title", (F.size(F.array_intersect("bag", "held")) / F.col("size")).alias("score")).distinct().drop("copy")
     w = W.partitionBy("page").orderBy(F.desc("score"), "title")
     ranked = scored.filter(F.col("score") >= low - 1e-9).withColumns({"k": F.row_number().over(w), "runner_up": F.lead("score").over(w)})
     accepted = (F.col("score") >= accept) & (F.col("score") - F.coalesce("runner_up", F.lit(0.0)) >= margin)

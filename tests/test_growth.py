@@ -39,3 +39,10 @@ def test_titles_read_pages_once(spark):
     pages = spark.createDataFrame([(1, ["a", "b", "c", "z"]), (1, ["a", "b"]), (2, ["d"]), (3, None)], bags)
     titles = spark.createDataFrame([(7, ["a", "b", "c"]), (8, ["b", "c", "e", "f", "g"])], "title int, bag array<string>")
     assert [tuple(r)[:4] for r in corpus.title_matches(pages, titles).collect()] == [(1, 7, 1.0, 2 / 3)]
+
+
+def test_simulation_spreads_over_counted_partitions(spark):
+    from evenhand.operators import simulate
+
+    tally = simulate.staged_tail(continuous_lines(spark, SF), m_max=1_000)
+    assert "REPARTITION_BY_NUM" in tally._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[1].split("Generate")[0]
